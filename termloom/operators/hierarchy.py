@@ -78,13 +78,14 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pdf
 
 
-def expand(nodes: DataFrame, tail_nodes: int = TAIL_NODES) -> DataFrame:
+def expand(nodes: DataFrame, tail_nodes: int = TAIL_NODES, with_keys: bool = True) -> DataFrame:
     """Full hierarchy of ``nodes`` (key, label, parent; unique keys).
 
     Returns key, label, parent, status, root, depth, path_keys, path_labels, size. status: 'root' (a root is above it or it
     is one), 'orphan' (the way up ends at a parent that isn't in the table), 'cycle' (the way up never ends). Only 'root'
     rows have root, depth (0 for a root) and the paths from the root down to the parent. size counts the node and the nodes
-    below it that were peeled; a node on a cycle counts those hanging off it.
+    below it that were peeled; a node on a cycle counts those hanging off it. Without ``with_keys`` path_keys is null and
+    nothing carries it.
 
     Each round peels the nodes without unpeeled children, sends their subtree sizes to their parents (counts and sums are
     combined before the shuffle, so a parent with millions of children is no hot spot) and keeps the shrinking rest. In
@@ -115,6 +116,8 @@ def expand(nodes: DataFrame, tail_nodes: int = TAIL_NODES) -> DataFrame:
         top = live.select("key", "label", "parent", "pending", "size").coalesce(1).mapInPandas(_finish_tail, "key string, size long, status string, root string, depth int, path_keys array<string>, path_labels array<string>")
     else:
         top = live.select("key", "size", F.lit("cycle").alias("status"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path_keys"), F.lit(None).cast("array<string>").alias("path_labels"))
+    if not with_keys:
+        top = top.withColumn("path_keys", F.lit(None).cast("array<string>"))
     top = top.join(live.select("key", "label", "parent"), "key")
     columns = ["key", "label", "parent", "status", "root", "depth", "path_keys", "path_labels", "size"]
     if not levels:
@@ -129,13 +132,13 @@ def expand(nodes: DataFrame, tail_nodes: int = TAIL_NODES) -> DataFrame:
         rooted = F.col("_st") == "root"
         below = got.select(
             "key", "label", "parent", F.col("_st").alias("status"), F.when(rooted, F.col("_r")).alias("root"), F.when(rooted, F.col("_d") + 1).alias("depth"),
-            F.when(rooted, F.concat("_pk", F.array("parent"))).alias("path_keys"), F.when(rooted, F.concat("_pl", F.array("_l"))).alias("path_labels"), "size",
+            (F.when(rooted, F.concat("_pk", F.array("parent"))) if with_keys else F.lit(None).cast("array<string>")).alias("path_keys"), F.when(rooted, F.concat("_pl", F.array("_l"))).alias("path_labels"), "size",
         )
         is_root = F.col("parent").isNull()
         empty = F.array().cast("array<string>")
         ends = level.filter("not has_parent").select(
             "key", "label", "parent", F.when(is_root, "root").otherwise("orphan").alias("status"), F.when(is_root, F.col("key")).alias("root"), F.when(is_root, F.lit(0)).alias("depth"),
-            F.when(is_root, empty).alias("path_keys"), F.when(is_root, empty).alias("path_labels"), "size",
+            (F.when(is_root, empty) if with_keys else F.lit(None).cast("array<string>")).alias("path_keys"), F.when(is_root, empty).alias("path_labels"), "size",
         )
         parts.append(cut(below.unionByName(ends)) if level is not levels[0] else below.unionByName(ends))
     out = parts[0]
@@ -187,7 +190,7 @@ def contradicting_paths(items: DataFrame, expanded: DataFrame) -> DataFrame:
 
 def found_cases(taxonomy: DataFrame, items: DataFrame, base: str = "https://vocab.lexifold.example/") -> DataFrame:
     """kind, record_key: nodes on or below a cycle, nodes whose way up leaves the table, items with a wrong path."""
-    tree = cut(expand(latest_nodes(taxonomy)))
+    tree = cut(expand(latest_nodes(taxonomy), with_keys=False).select("key", "status", "path_labels"))
     lost = tree.filter("status <> 'root'").select(F.col("status").alias("kind"), F.concat(F.lit(base), F.col("key")).alias("record_key"))
     wrong = contradicting_paths(items, tree).select(F.lit("path").alias("kind"), F.col("item_id").alias("record_key"))
     return lost.unionByName(wrong)
