@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import encode, splits, topk
+from termloom.llm import canonical, encode, splits, topk
 from termloom.runtime import table
 
 
@@ -12,6 +12,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.ranked_top(table(spark, sf_dir, "ranked_candidates"), table(spark, sf_dir, "answer_rules")).select("item_id", "config_version", "place", "iri")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.found(table(spark, sf_dir, "gold_values"), table(spark, sf_dir, "label_proposals"), table(spark, sf_dir, "concepts"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.related_groups(table(spark, sf_dir, "gold_rows"))
 
@@ -40,7 +44,7 @@ SELECT i.item_id, coalesce(min(grp.g), i.item_id) AS group_id FROM (SELECT DISTI
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
