@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import canonical, encode, splits, topk
+from termloom.llm import canonical, encode, overlap, splits, topk
 from termloom.runtime import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found_pairs(table(spark, sf_dir, "gold_rows"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(table(spark, sf_dir, "gold_rows"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.ranked_top(table(spark, sf_dir, "ranked_candidates"), table(spark, sf_dir, "answer_rules")).select("item_id", "config_version", "place", "iri")
 
@@ -44,7 +52,7 @@ SELECT i.item_id, coalesce(min(grp.g), i.item_id) AS group_id FROM (SELECT DISTI
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
