@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: What may stand around or inside an IRI without being part of it.
 _AROUND = r"""[\s\p{Z}\p{Cf}\p{Cc}<>\[\](){}"']"""
-_DASHES = r"[\p{Pd}−­]"
-_SPACES = r"[\s\p{Z}\p{Cc}​‌‍⁠﻿]+"
+_DASHES = r"[\p{Pd}\u2212\u00ad]"
+_SPACES = r"[\s\p{Z}\p{Cc}\u200b\u200c\u200d\u2060\ufeff]+"
 
 
 def iri_key(iri: Column) -> Column:
@@ -19,7 +19,7 @@ def iri_key(iri: Column) -> Column:
 
 def loose_heading(text: Column) -> Column:
     """A heading without letter case, dashes and white space; null for null and for what is empty then."""
-    return F.nullif(F.lower(F.regexp_replace(text, r"[\p{Pd}−\p{Z}\p{Cf}\p{Cc}\s]", "")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(text, r"[\p{Pd}\u2212\p{Z}\p{Cf}\p{Cc}\s]", "")), F.lit(""))
 
 
 def simple_heading(text: Column) -> Column:

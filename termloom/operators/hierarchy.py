@@ -153,8 +153,8 @@ def descendants(expanded: DataFrame) -> DataFrame:
     return expanded.filter("status = 'root' and depth > 0").select("key", "depth", F.posexplode("path_keys").alias("_i", "ancestor")).select("ancestor", "key", (F.col("depth") - F.col("_i")).cast("int").alias("distance"))
 
 
-_DASH = re.compile(r"[‐-―−­֊⁃﹘﹣－⸺⸻]")
-_ZERO = re.compile(r"[​‌‍⁠﻿]")
+_DASH = re.compile(r"[‐-―\u2212\u00ad֊⁃﹘﹣－⸺⸻]")
+_ZERO = re.compile(r"[\u200b\u200c\u200d\u2060\ufeff]")
 
 
 def compare_heading(text: str | None) -> str:
