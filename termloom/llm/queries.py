@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import canonical, encode, overlap, splits, topk
+from termloom.llm import canonical, encode, overlap, quality, splits, topk
 from termloom.runtime import table
 
 
@@ -36,6 +36,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(table(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(table(spark, sf_dir, "documents"))
+
+
 _P3 = """SELECT item_id, config_version, CAST(place AS INTEGER) AS place, iri FROM (
   SELECT g.item_id, g.config_version, g.iri, r.top_k, row_number() OVER (PARTITION BY g.item_id, g.config_version ORDER BY g.score DESC, g.iri COLLATE "C") AS place
   FROM (SELECT item_id, config_version, iri, max(score) AS score FROM ranked_candidates WHERE item_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) AND iri IS NOT NULL GROUP BY ALL) g
@@ -52,7 +60,7 @@ SELECT i.item_id, coalesce(min(grp.g), i.item_id) AS group_id FROM (SELECT DISTI
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

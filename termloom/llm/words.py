@@ -7,7 +7,7 @@ import unicodedata
 
 #: Small linking words that carry no meaning in a heading.
 LINKING = frozenset("a an and at by for from in of on or re the to with".split())
-_ZERO = re.compile("[​‌‍⁠﻿­]")
+_ZERO = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 _EXTRA = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l", "ð": "d", "þ": "th", "ı": "i"})
 
 
