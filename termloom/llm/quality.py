@@ -226,7 +226,7 @@ def statistics(text: str) -> dict:
                     running += 1
             elif close and letters >= 4 and joint * 6 >= letters and letters <= 110:
                 # no word of a clause: a sentence where it begins with a capital or runs on from one in its line
-                if cased and joint * 4 >= letters and letters >= 5 and unit.lstrip("\"'“„«‘¿¡( ")[:1].isupper() and got[0]:
+                if cased and joint * 4 >= letters and letters >= 5 and unit.lstrip("\"'“„«‘¿¡( ")[:1].isupper():
                     shares[0] += size
                     running += 1
                 else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import canonical, encode, overlap, quality, splits, topk
+from termloom.llm import canonical, encode, overlap, packing, quality, splits, topk
 from termloom.runtime import table
 
 
@@ -36,6 +36,15 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "container_sizes")
+    return packing.fill_report(packing.fill_containers(table(spark, sf_dir, "documents"), sizes), sizes)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.not_prose(table(spark, sf_dir, "documents"))
 
@@ -60,7 +69,7 @@ SELECT i.item_id, coalesce(min(grp.g), i.item_id) AS group_id FROM (SELECT DISTI
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p8_found": p8_found, "p8_statistics": p8_statistics}
+    return {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_report": p7_report, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
