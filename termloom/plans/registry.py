@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.plans import hierarchy_queries
+from termloom.plans import hierarchy_queries, resolution_queries
 
-_MODULES = [hierarchy_queries]
+_MODULES = [hierarchy_queries, resolution_queries]
 
 
 def queries() -> dict:
