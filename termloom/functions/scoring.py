@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import content_words, strip
@@ -40,25 +40,27 @@ def rounded(x: Column) -> Column:
     return F.floor(x * 10 + 0.5) / 10.0
 
 
-def relevance_raw(query: Column, label: Column, definition: Column, synonyms: Column, preferred: Column, content: Column | None = None, penalty: float = 1.0) -> Column:
+def relevance_raw(query: Column, label: Column, definition: Column, synonyms: Column, preferred: Column, content: Column | None = None, penalty: float = 1.0, words: dict[str, Column] | None = None) -> Column:
     """Score 0 to 99 of a concept for a query, unrounded: 99 for the label itself, 92 and 88 for one containing the other, else by
     overlapping words; preferred label, synonyms and definition count less. Labels with more content than the query lose up to 40 %.
-    A null or empty label scores 0; a null query is an empty one; other nulls are absent."""
+    A null or empty label scores 0; a null query is an empty one; other nulls are absent. ``words`` may bring the content words of label,
+    definition, preferred and synonyms (a list of lists) as columns, so that each concept is tokenised once and not per pair."""
+    w = words or {}
     q = strip(F.lower(F.coalesce(query, F.lit(""))))
     qc = content_words(query) if content is None else content
     low = F.lower(label)
-    lc = content_words(label)
+    lc = w.get("label", content_words(label))
     n = F.length(q)
     inside = F.when((n >= 4) & F.contains(low, q), F.lit(92.0)).when((F.length(low) >= 4) & F.contains(q, low) & (F.length(low).cast("double") / F.nullif(n, F.lit(0)) > 0.3), F.lit(88.0)).otherwise(F.lit(0.0))
     by_label = F.greatest(inside, word_overlap(qc, lc) * 88.0)
     plow = F.lower(preferred)
     by_preferred = (
-        F.when(F.coalesce(F.length(preferred), F.lit(0)) == 0, F.lit(0.0)).when(q == plow, F.lit(90.0)).when((n >= 4) & F.contains(plow, q), F.lit(84.0)).otherwise(word_overlap(qc, content_words(preferred)) * 86.0)
+        F.when(F.coalesce(F.length(preferred), F.lit(0)) == 0, F.lit(0.0)).when(q == plow, F.lit(90.0)).when((n >= 4) & F.contains(plow, q), F.lit(84.0)).otherwise(word_overlap(qc, w.get("preferred", content_words(preferred))) * 86.0)
     )
-    names = F.filter(F.coalesce(synonyms, F.array().cast("array<string>")), lambda s: s.isNotNull())
-    by_synonym = F.coalesce(F.array_max(F.transform(names, lambda s: word_overlap(qc, content_words(s)) * 82.0)), F.lit(0.0))
+    names = w.get("synonyms", synonym_words(synonyms))
+    by_synonym = F.coalesce(F.array_max(F.transform(names, lambda s: word_overlap(qc, s) * 82.0)), F.lit(0.0))
     dlow = F.lower(definition)
-    by_definition = F.when(F.coalesce(F.length(definition), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.greatest(F.when(F.contains(dlow, q), F.lit(60.0)).otherwise(F.lit(0.0)), word_overlap(qc, content_words(definition)) * 55.0))
+    by_definition = F.when(F.coalesce(F.length(definition), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.greatest(F.when(F.contains(dlow, q), F.lit(60.0)).otherwise(F.lit(0.0)), word_overlap(qc, w.get("definition", content_words(definition))) * 55.0))
     primary = F.greatest(by_label, by_preferred, by_synonym)
     final = F.when(primary > 0, primary + F.least(by_definition * 0.12, F.lit(8.0))).otherwise(by_definition)
     extra = F.size(F.array_except(lc, qc)).cast("double")
@@ -66,8 +68,19 @@ def relevance_raw(query: Column, label: Column, definition: Column, synonyms: Co
     return F.when(F.coalesce(F.length(label), F.lit(0)) == 0, F.lit(0.0)).when(q == low, F.lit(99.0)).otherwise(F.least(final * cut, F.lit(99.0)))
 
 
-def relevance(query: Column, label: Column, definition: Column, synonyms: Column, preferred: Column, content: Column | None = None, penalty: float = 1.0) -> Column:
-    return rounded(relevance_raw(query, label, definition, synonyms, preferred, content, penalty))
+def synonym_words(synonyms: Column) -> Column:
+    names = F.filter(F.coalesce(synonyms, F.array().cast("array<string>")), lambda s: s.isNotNull())
+    return F.transform(names, lambda s: content_words(s))
+
+
+def relevance(query: Column, label: Column, definition: Column, synonyms: Column, preferred: Column, content: Column | None = None, penalty: float = 1.0, words: dict[str, Column] | None = None) -> Column:
+    return rounded(relevance_raw(query, label, definition, synonyms, preferred, content, penalty, words))
+
+
+def with_words(concepts: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Concepts with their content words as columns, and those columns for ``relevance``."""
+    out = concepts.withColumns({"_lw": content_words(F.col("label")), "_dw": content_words(F.col("definition")), "_pw": content_words(F.col("preferred_label")), "_sw": synonym_words(F.col("alternative_labels"))})
+    return out, {"label": F.col("_lw"), "definition": F.col("_dw"), "preferred": F.col("_pw"), "synonyms": F.col("_sw")}
 
 
 # -- the same in the SQL of the oracle -------------------------------------------------------------------------------------

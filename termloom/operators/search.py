@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.scoring import relevance
+from termloom.functions.scoring import relevance, with_words
 from termloom.functions.text import content_words, strip
 
 
@@ -50,8 +50,10 @@ def candidate_pairs(terms: DataFrame, concepts: DataFrame) -> DataFrame:
 def scored_pairs(terms: DataFrame, concepts: DataFrame, penalty: float = 1.0) -> DataFrame:
     """term, iri, label, branch, score > 0. Each distinct term is scored once; blank and null terms find nothing."""
     t = terms.select("term").filter(strip(F.col("term")) != "").distinct()
-    pairs = candidate_pairs(t, concepts).join(concepts, "iri")
-    score = relevance(F.col("term"), F.col("label"), F.col("definition"), F.col("alternative_labels"), F.col("preferred_label"), penalty=penalty)
+    ready, words = with_words(concepts)
+    asked = t.withColumn("_qw", content_words(F.col("term")))
+    pairs = candidate_pairs(t, concepts).join(ready, "iri").join(asked, "term")
+    score = relevance(F.col("term"), F.col("label"), F.col("definition"), F.col("alternative_labels"), F.col("preferred_label"), F.col("_qw"), penalty, words)
     return pairs.select("term", "iri", "label", "branch", score.alias("score")).filter("score > 0")
 
 

@@ -18,7 +18,11 @@ def _catalog(spark: SparkSession, d: str) -> ConceptCatalog:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "label_proposals").filter("trim(label) <> ''").select(F.col("label").alias("term")).distinct()
+    """The catalog's topics, and its kinds of matter joined with another one."""
+    c = table(spark, d, "concepts")
+    topics = c.select(F.regexp_extract("label", r"(\S+) \S+$", 1).alias("term"))
+    kinds = c.select(F.concat(F.regexp_extract("label", r"(\S+)$", 1), F.lit(" and Claims")).alias("term"))
+    return topics.unionByName(kinds).filter("term <> ''").distinct()
 
 
 def tokenize_documents(spark, d):
@@ -163,7 +167,7 @@ def normal_forms(spark, d):
 # -- SQL --------------------------------------------------------------------------------------------------------------------
 
 _TOK = "list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[a-zA-Z]+'), lambda w: lower(w)), lambda w: length(w) >= 2)"
-_TERMS = "terms AS (SELECT DISTINCT label AS term FROM label_proposals WHERE trim(label) <> '')"
+_TERMS = r"terms AS (SELECT DISTINCT term FROM (SELECT regexp_extract(label, '(\S+) \S+$', 1) AS term FROM concepts UNION ALL SELECT regexp_extract(label, '(\S+)$', 1) || ' and Claims' FROM concepts) WHERE term <> '')"
 _CONCEPTS = f"""con AS (SELECT iri, label, definition, branch, preferred_label, {sql_content('label')} AS lc, {sql_content('definition')} AS dc, {sql_content('preferred_label')} AS pc, list_transform(coalesce(alternative_labels, []), lambda s: {sql_content('s')}) AS sc FROM concepts)"""
 
 
