@@ -75,13 +75,13 @@ def search_terms(term: Column) -> Column:
 def conjuncts(text: Column) -> Column:
     """The parts between conjunctions, trimmed, without empty ones. Letter case of the conjunctions counts."""
     pattern = "|".join(CONJUNCTIONS)
-    return F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(F.split(text, pattern), lambda p: strip(p)), lambda p: F.length(p) > 0)
 
 
 def decompose(text: Column) -> Column:
     """A heading and the parts it joins, each with the head ('Proposed X and Y') or tail ('X and Y Agreement') that all share.
     The heading itself comes first; one without conjunctions stands alone. Null gives null."""
-    whole = F.trim(text)
+    whole = strip(text)
     parts = conjuncts(whole)
     first, last = F.element_at(F.split(F.element_at(parts, 1), r"\s+"), 1), F.element_at(F.split(F.element_at(parts, -1), r"\s+"), -1)
     head = F.when(F.lower(first).isin(SHARED_HEADS), first)

@@ -134,7 +134,7 @@ def recall_multi_strategy(spark, d):
 
 
 def label_resolver(spark, d):
-    return pipeline.resolve_terms(_terms(spark, d), _catalog(spark, d)).select("term", "iri", "score", "surface")
+    return pipeline.resolve_terms(_terms(spark, d), _catalog(spark, d), least=80.0).select("term", "iri", "score", "surface")
 
 
 def subject_suggestions(spark, d):
@@ -189,7 +189,7 @@ _TAILS = "[" + ", ".join(f"'{h}'" for h in text.SHARED_TAILS) + "]"
 
 
 def _decompose_sql(source: str) -> str:
-    return f"""cut AS (SELECT term, trim(term) AS whole, list_filter(list_transform(regexp_split_to_array(trim(term), '{'|'.join(text.CONJUNCTIONS)}'), lambda p: trim(p)), lambda p: length(p) > 0) AS parts FROM {source}),
+    return f"""cut AS (SELECT term, {sql_strip('term')} AS whole, list_filter(list_transform(regexp_split_to_array({sql_strip('term')}, '{'|'.join(text.CONJUNCTIONS)}'), lambda p: {sql_strip('p')}), lambda p: length(p) > 0) AS parts FROM {source}),
 ends AS (SELECT *, CASE WHEN list_contains({_HEADS}, lower(regexp_extract(parts[1], '^\\S+'))) THEN regexp_extract(parts[1], '^\\S+') END AS head, regexp_extract(parts[-1], '\\S+$') AS last FROM cut),
 tails AS (SELECT *, CASE WHEN head IS NULL AND list_contains({_TAILS}, lower(last)) THEN last END AS tail FROM ends),
 pieces AS (SELECT term, 0 AS i, whole AS part FROM tails UNION ALL
@@ -281,7 +281,7 @@ gr AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + k - 1], ' ') AS g FROM (S
 SELECT doc_id, count(*) AS hits FROM gr JOIN s USING (g) GROUP BY doc_id""",
     "match_pipeline": _MATCH,
     "label_resolver": f"""WITH {_TERMS}, {_CONCEPTS}, {_decompose_sql('terms')}, every AS (SELECT DISTINCT part AS term FROM split WHERE trim(part) <> ''), {_score_sql('every')},
-top AS (SELECT term AS surface, iri, score FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, iri) AS n FROM scored WHERE score > 0) WHERE n = 1 AND score >= 92),
+top AS (SELECT term AS surface, iri, score FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, iri) AS n FROM scored WHERE score > 0) WHERE n = 1 AND score >= 80),
 f AS (SELECT term, pos, surface, iri, score, bool_or(pos > 0) OVER (PARTITION BY term) AS parts FROM split JOIN top ON part = surface)
 SELECT term, iri, score, surface FROM (SELECT *, row_number() OVER (PARTITION BY term, iri ORDER BY pos) AS n FROM f WHERE (pos > 0) = parts) WHERE n = 1""",
     "label_index": f"WITH {_LABELS} SELECT label_key, iri, kind FROM labels",
