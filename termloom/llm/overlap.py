@@ -24,6 +24,9 @@ SLIPS = 2
 #: A bucket with more pairs than this is split by the spelling of the words left out.
 BUCKET_PAIRS = 2_500
 
+#: Texts of more words take part by hashes of word buckets instead; both sides of the border do both, as a pair's lengths differ by one at most.
+MANY_WORDS, BUCKETS = 24, 5
+
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -45,8 +48,17 @@ def _hash(*parts: str) -> int:
 
 def signatures(words: list[str]) -> Iterator[tuple[int, str, str]]:
     """(hash of what is left, first and second word left out). Two texts with at most two slips agree in one of them: one
-    word left out (both slips in it), two words (one slip in each), or two neighbours against one word (a blank more or less). Numbers stay."""
+    word left out (both slips in it), two words (one slip in each), or two neighbours against one word (a blank more or less). Numbers stay. In long
+    texts the words fall into five buckets by hash: at most four of them can differ between two texts that are nearly the same."""
     ordered = sorted(words)
+    if len(words) > MANY_WORDS - 2:
+        parts: list[list[str]] = [[] for _ in range(BUCKETS)]
+        for w in ordered:
+            parts[_hash(w) % BUCKETS].append(w)
+        for i, part in enumerate(parts):
+            yield _hash("b", str(i), *part), "", ""
+        if len(words) > MANY_WORDS:
+            return
     free = [i for i, w in enumerate(ordered) if not w.isdigit()]
     rest = lambda out: [w for i, w in enumerate(ordered) if i not in out]
     yield _hash("1", *ordered), "", ""
@@ -63,6 +75,8 @@ def signatures(words: list[str]) -> Iterator[tuple[int, str, str]]:
 
 
 def _shorter(word: str, times: int) -> set[str]:
+    if len(word) > 40:
+        return {""}  # such words don't split a bucket
     out = level = {word}
     for _ in range(times):
         level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}

@@ -70,11 +70,14 @@ def slips(a: str, b: str, most: int = 2) -> int:
     la, lb = len(a), len(b)
     if abs(la - lb) > most:
         return most + 1
+    far = most + 1
     before, row = None, list(range(lb + 1))
     for i in range(1, la + 1):
-        new = [i] + [0] * lb
         x = a[i - 1]
-        for j in range(1, lb + 1):
+        new = [far] * (lb + 1)
+        if i <= most:
+            new[0] = i
+        for j in range(max(1, i - most), min(lb, i + most) + 1):  # cells further from the diagonal hold more anyway
             y = b[j - 1]
             v = row[j - 1] + (x != y)
             if row[j] + 1 < v:
@@ -83,11 +86,11 @@ def slips(a: str, b: str, most: int = 2) -> int:
                 v = new[j - 1] + 1
             if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and before[j - 2] + 1 < v:
                 v = before[j - 2] + 1
-            new[j] = v
+            new[j] = v if v < far else far
         if min(new) > most:
-            return most + 1
+            return far
         before, row = row, new
-    return row[lb]
+    return min(row[lb], far)
 
 
 class BKTree:

@@ -37,7 +37,7 @@ def test_pairs_against_all_pairs(spark, pairs, monkeypatch):
             t = rng.choice([t[:k] + t[k + 1 :], t[:k] + "x" + t[k:], t[:k] + t[k + 1] + t[k] + t[k + 2 :]])
         return t
 
-    rows = [(f"i{rng.randrange(130):03d}", rng.choice([leaf(), leaf(), leaf(), "Other", None]), rng.choice(["tune", "frozen", "firm2", None]), rng.random() < 0.05, f"w{n % 3}", "c") for n in range(220)]
+    rows = [(f"i{rng.randrange(130):03d}", rng.choice([leaf(), leaf(), leaf(), "Other", None]), rng.choice(["tune", "frozen", "firm2", None]), rng.random() < 0.05, f"w{n % 3}", "c") for n in range(160)]
     rows += [(None, "a b c", "tune", False, "w", ""), ("long", "word " * 4000, "tune", None, "w", "")]
     df = spark.createDataFrame(rows, SCHEMA)
     assert {tuple(r) for r in O.found_pairs(df).collect()} == brute(rows)
