@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.runtime import spread
+
 # Short words that would hit everywhere; the least length of a pattern; confidence of the two tiers.
 RULER_STOPWORDS = (
     "a an the to of in on at by for or and is it be as do no so up if my me he we am us go re al de la le mr ms dr st vs id ie eg etc per via "
@@ -76,7 +78,7 @@ def scan(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str =
             if cols[0]:
                 yield flush(cols)
 
-    tokens = docs.select(key, text).mapInArrow(run, f"{key} {kind}, _at int, _anchor string, _near string, _base int")
+    tokens = spread(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, _at int, _anchor string, _near string, _base int")
     hits = tokens.join(pats, "_anchor")
     start = F.col("_at") - F.col("_off")
     rel = start - F.col("_base") + 1  # position in the stretch, from 1

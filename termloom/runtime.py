@@ -53,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for stages whose work is heavy for their bytes. A table that
+    has that many already isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
 def hot_keys(counts: DataFrame, key: str, n: str, share: int = 64, least: int = 100_000) -> list:
     """Keys that hold more than 1/share of all rows, from a table with one row and its count ``n`` for each key; by that
     definition fewer than ``share`` of them. Keys under ``least`` rows are left out: a task holds those easily."""
