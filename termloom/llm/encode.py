@@ -14,6 +14,8 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
+from termloom.runtime import spread
+
 #: Fixed values of the public tokenizer family: how a text falls into words before any merge.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
@@ -223,4 +225,4 @@ def encode_corpus(docs: DataFrame, path: str = DEFAULT_PATH, key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.encode import DEFAULT_PATH, PieceIds, blocks
-from termloom.runtime import cut
+from termloom.runtime import cut, spread
 
 #: Dimensions of the projection and bits of each coordinate on the curve.
 DIMENSIONS, BITS = 3, 10
@@ -98,7 +98,7 @@ def sizes(docs: DataFrame, path: str = DEFAULT_PATH, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(hilbert(grid), pa.int64())], names=[key, "tokens", "place"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, tokens long, place long")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, tokens long, place long")
 
 
 class Packer:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.encode import blocks
+from termloom.runtime import spread
 
 # Common words of four languages by their part in a sentence. 'clause' words stand in running sentences; 'phrase' words
 # also join the words of headings, list entries and cells.
@@ -279,7 +280,7 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, *_COLUMNS])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} {k}" for c, k in _COLUMNS.items()))
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} {k}" for c, k in _COLUMNS.items()))
 
 
 def _visible(text: str) -> bool:
