@@ -18,11 +18,8 @@ def _catalog(spark: SparkSession, d: str) -> ConceptCatalog:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    """The catalog's topics, and its kinds of matter joined with another one."""
-    c = table(spark, d, "concepts")
-    topics = c.select(F.regexp_extract("label", r"(\S+) \S+$", 1).alias("term"))
-    kinds = c.select(F.concat(F.regexp_extract("label", r"(\S+)$", 1), F.lit(" and Claims")).alias("term"))
-    return topics.unionByName(kinds).filter("term <> ''").distinct()
+    """Every distinct label that reviewers typed."""
+    return table(spark, d, "label_proposals").filter(text.strip(F.col("label")) != "").select(F.col("label").alias("term")).distinct()
 
 
 def tokenize_documents(spark, d):
@@ -134,7 +131,7 @@ def recall_multi_strategy(spark, d):
 
 
 def label_resolver(spark, d):
-    return pipeline.resolve_terms(_terms(spark, d), _catalog(spark, d), least=80.0).select("term", "iri", "score", "surface")
+    return pipeline.resolve_terms(_terms(spark, d), _catalog(spark, d)).select("term", "iri", "score", "surface")
 
 
 def subject_suggestions(spark, d):
