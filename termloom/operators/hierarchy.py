@@ -153,6 +153,26 @@ def descendants(expanded: DataFrame) -> DataFrame:
     return expanded.filter("status = 'root' and depth > 0").select("key", "depth", F.posexplode("path_keys").alias("_i", "ancestor")).select("ancestor", "key", (F.col("depth") - F.col("_i")).cast("int").alias("distance"))
 
 
+def rootless_descendants(expanded: DataFrame) -> DataFrame:
+    """The pairs (ancestor, key, distance) that ``descendants`` leaves out: those of nodes with no root above them. On and below a cycle the
+    distance is the smallest number of steps; a node on a cycle is no descendant of itself, but all others on the cycle are.
+
+    Rounds double the reach: each has every node's ancestors up to 2^k steps and joins them with those of the farthest one, so a chain of n
+    nodes takes log2 n rounds and a cycle stops once its nodes meet again."""
+    rest = cut(expanded.filter("status <> 'root'").select("key", "parent"))
+    up = rest.filter("parent is not null and parent <> key").join(rest.select(F.col("key").alias("parent")), "parent", "left_semi")
+    reach = cut(up.select(F.col("parent").alias("ancestor"), "key", F.lit(1).alias("distance")))
+    pairs, far = reach.count(), 1
+    while True:
+        last = reach.filter(F.col("distance") == far).select("key", F.col("ancestor").alias("via"))
+        more = last.join(reach.select(F.col("key").alias("via"), "ancestor", "distance"), "via").select("ancestor", "key", (F.col("distance") + far).alias("distance"))
+        longer = cut(reach.unionByName(more.filter("ancestor <> key")).groupBy("ancestor", "key").agg(F.min("distance").alias("distance")))
+        n = longer.count()
+        if n == pairs:
+            return longer.select("ancestor", "key", F.col("distance").cast("int").alias("distance"))
+        reach, pairs, far = longer, n, far * 2
+
+
 _DASH = re.compile(r"[‐-―\u2212\u00ad֊⁃﹘﹣－⸺⸻]")
 _ZERO = re.compile(r"[\u200b\u200c\u200d\u2060\ufeff]")
 

@@ -15,11 +15,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = H.expand(H.latest_nodes(table(spark, sf_dir, "taxonomy_nodes")))
-    return tree.select("key", "label", "status", "root", "depth", F.array_join("path_keys", " > ").alias("key_path"), F.array_join(F.transform("path_labels", lambda x: F.coalesce(x, F.lit(""))), " > ").alias("label_path"), F.when(F.col("status") != "cycle", F.col("size")).alias("subtree_size"))
+    on_cycle = tree.filter("status = 'cycle'").select("key")
+    below = H.rootless_descendants(tree).groupBy(F.col("ancestor").alias("key")).agg(F.count(F.lit(1)).alias("_below"))
+    tree = tree.join(on_cycle.join(below, "key", "left").select("key", (F.coalesce("_below", F.lit(0)) + 1).alias("_whole")), "key", "left")
+    return tree.select("key", "label", "status", "root", "depth", F.array_join("path_keys", " > ").alias("key_path"), F.array_join(F.transform("path_labels", lambda x: F.coalesce(x, F.lit(""))), " > ").alias("label_path"), F.coalesce("_whole", "size").alias("subtree_size"))
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.descendants(H.expand(H.latest_nodes(table(spark, sf_dir, "taxonomy_nodes"))))
+    tree = H.expand(H.latest_nodes(table(spark, sf_dir, "taxonomy_nodes")))
+    return H.descendants(tree).unionByName(H.rootless_descendants(tree))
 
 
 _NODES = r"""
