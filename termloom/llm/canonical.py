@@ -1,23 +1,28 @@
-"""Mapping freely typed values to a canonical list with BK-trees (problem 4)."""
+"""Mapping freely typed values to a canonical list with BK-trees over its entries (problem 4)."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.words import LINKING, BKTree, fold, plural, singular, slips
+from termloom.llm.words import LINKING, BKTree, EntryTree, Spellings, fold, plural, singular, slips
+from termloom.runtime import cut
 
-#: A shard of the reference list holds at most so many entries; each shard is one broadcast of bounded size.
-SHARD_ENTRIES = 20_000
-#: A text of more tokens names no entry unless it is one exactly: entries are headings.
-TOKENS = 16
+#: A shard of the reference list holds at most so many entries; each shard is one closure of bounded size, and the driver holds one at a time.
+SHARD_ENTRIES = 5_000
+#: The distinct words of the whole reference list go to every task; lists with more are refused.
+REFERENCE_WORDS = 200_000
+#: Slips of the pen that a text may have in all, and the costs of a slip and of the ways of shortening a word.
+SLIPS = 2
+SLIP, SHORT, CONTRACTED, LOOSE = 1.2, 1.0, 2.0, 3.0
+SLIPPED_SKELETON, SLIPPED_START, SLIPPED_CONTRACTION = 2.6, 2.8, 4.0
 
 _IRI = re.compile(r"^[\s<\[({\"']*([A-Za-z][A-Za-z0-9+.-]*:\S*?)[\s>\])}\"']*$")
 _AROUND = re.compile(r"[\s<>\[\](){}\"'\u200b\u200c\u200d\u2060\ufeff]")
@@ -40,72 +45,66 @@ def skeleton(word: str) -> str:
     return word[:1] + _VOWELS.sub("", word[1:])
 
 
+def name_words(name: str) -> list[str]:
+    """The words of a name in order, folded, without linking words."""
+    return [w for w in re.findall("[a-z]+|[0-9]+", fold(name)) if w not in LINKING]
+
+
 def _subsequence(short: str, word: str) -> bool:
     it = iter(word)
     return all(ch in it for ch in short)
 
 
-class Reference:
-    """Search structures over one shard of the reference list: (iri, names of the entry).
+class Reading:
+    """What a typed token may stand for: ``known`` (it is a word of the reference list and stands only for itself), ``near`` (stems within the slips), ``short``
+    (stems it shortens, with costs)."""
 
-    Exact keys (IRI, words in any order) come first. Else each token is looked up among the words of the entries: itself, a
-    start of a word, a word without its vowels, a contraction, or every word within the edit threshold out of a BK-tree;
-    the entries all of whose words are met are found through their set of words, and the cheapest one wins. What is
-    written without any gap is also searched as a whole in a BK-tree over the entries."""
+    __slots__ = ("known", "near", "short", "costs")
 
-    def __init__(self, entries: list[tuple[str, list[str]]]):
-        self.by_tail: dict[str, str] = {}
-        self.by_words: dict[tuple, str] = {}
-        self.squashed: dict[str, str] = {}
-        self.mojibake: dict[str, str] = {}
+    def __init__(self, known: set[str], near: dict[str, int], short: dict[str, float]):
+        self.known, self.near, self.short = known, near, short
+        self.costs: dict[str, list[tuple[float, int]]] = {s: [(0.0, 0)] for s in known}
+        for s, d in near.items():
+            self.costs.setdefault(s, []).append((SLIP * d, d))
+        for s, c in short.items():
+            self.costs.setdefault(s, []).append((c, 0))
+
+
+class Vocabulary:
+    """The distinct words of the whole reference list: the same in every shard, so that no answer depends on how the list is cut."""
+
+    def __init__(self, words: Iterable[str], letters: Iterable[str] = ()):
         forms: dict[str, set[str]] = {}
-        for iri, names in entries:
-            self._keep(self.by_tail, iri_tail(iri), iri)
-            for name in names:
-                self._learn_mojibake(name)
-                words = [w for w in re.findall("[a-z]+|[0-9]+", fold(name)) if w not in LINKING]
-                stems = [singular(w) for w in words]
-                if not words:
-                    continue
-                self._keep(self.by_words, tuple(sorted(stems)), iri)
-                for order in (words, [words[-1], *words[:-1]], [stems[-1], "of", *words[:-1]], [stems[-1], "for", *words[:-1]], [*words[:-1], stems[-1]]):
-                    self._keep(self.squashed, "".join(order), iri)
-                for w, s in zip(words, stems):
-                    if not w.isdigit():
-                        for f in (w, s, plural(s)):
-                            forms.setdefault(f, set()).add(s)
+        for w in words:
+            if not w.isdigit():
+                s = singular(w)
+                for f in (w, s, plural(s)):
+                    forms.setdefault(f, set()).add(s)
         self.forms = forms
         self.sorted_forms = sorted(forms)
+        self.longest = max(map(len, forms), default=0)
         self.stems = {s for x in forms.values() for s in x}
+        self.spellings = Spellings(self.sorted_forms)
         self.skeletons: dict[str, set[str]] = {}
         for f, s in forms.items():
             self.skeletons.setdefault(skeleton(f), set()).update(s)
+        self.bones = BKTree(sorted(k for k in self.skeletons if len(k) >= 5))
         self.by_initial: dict[str, list[str]] = {}
         for f in self.sorted_forms:
             self.by_initial.setdefault(f[0], []).append(f)
-        self.word_tree = BKTree(self.sorted_forms)
-        self.bones_tree = BKTree(sorted(k for k in self.skeletons if len(k) >= 5))
-        self._entry_tree: BKTree | None = None
-        self.tokens: dict[tuple[str, bool], dict[str, float]] = {}
-        self.texts: dict[str, tuple[float, str]] = {}
-
-    @staticmethod
-    def _keep(to: dict, key, iri: str) -> None:
-        if key not in to or iri < to[key]:  # two entries with one name: the smaller IRI
-            to[key] = iri
+        self.mojibake: dict[str, str] = {}
+        for ch in letters:
+            for wrong in ("cp1252", "latin-1"):
+                try:
+                    seen = ch.encode("utf-8").decode(wrong)
+                except UnicodeDecodeError:
+                    continue
+                self.mojibake[unicodedata.normalize("NFKC", seen.casefold())] = ch.casefold()
+                self.mojibake[seen.casefold()] = ch.casefold()
+        self.readings: dict[tuple[str, bool], Reading] = {}
 
-    def _learn_mojibake(self, name: str) -> None:
-        for ch in name:
-            if not ch.isascii() and ch.isalpha():
-                for wrong in ("cp1252", "latin-1"):
-                    try:
-                        seen = ch.encode("utf-8").decode(wrong)
-                    except UnicodeDecodeError:
-                        continue
-                    self.mojibake[unicodedata.normalize("NFKC", seen.casefold())] = ch.casefold()
-                    self.mojibake[seen.casefold()] = ch.casefold()
-
-    def _repair(self, text: str) -> str:
+    def repair(self, text: str) -> str:
+        """Undoes letters that were decoded with the wrong table."""
         if text.isascii():
             return text
         low = text.casefold()
@@ -116,97 +115,100 @@ class Reference:
             return low
         return text
 
-    def _token(self, word: str, dot: bool) -> dict[str, float]:
-        """Words of the entries that a token may stand for, with their costs. A token that is such a word stands for itself alone."""
-        got = self.tokens.get((word, dot))
-        if got is not None:
-            return got
-        if len(self.tokens) > 300_000:
-            self.tokens.clear()
-        out: dict[str, float] = {}
+    def read(self, word: str, dot: bool) -> Reading:
+        got = self.readings.get((word, dot))
+        if got is None:
+            if len(self.readings) > 300_000:
+                self.readings.clear()
+            got = self.readings[word, dot] = self._read(word, dot)
+        return got
+
+    def _read(self, word: str, dot: bool) -> Reading:
+        if word.isdigit():
+            return Reading({word}, {}, {})
+        stem = singular(word)
+        if word in self.forms and not (dot and len(word) < 4):
+            return Reading(self.forms[word], {}, {})
+        if stem in self.stems:
+            return Reading({stem}, {}, {})
+        near: dict[str, int] = {}
+        short: dict[str, float] = {}
 
         def put(stems, cost: float) -> None:
             for s in stems:
-                if cost < out.get(s, 9.0):
-                    out[s] = cost
-
-        stem = singular(word)
-        if word in self.forms and not (dot and len(word) < 4):
-            put(self.forms[word], 0.0)
-        elif stem in self.stems:
-            out[stem] = 0.0
-        elif not word.isdigit():
-            if len(word) >= 2:
-                put(self.skeletons.get(word, ()), 1.0)
+                if cost < short.get(s, 9.0):
+                    short[s] = cost
+
+        if len(word) >= 4:
+            most = 1 if len(word) < 6 else SLIPS
+            for i in np.nonzero(self.spellings.row(word) <= 2 * most)[0].tolist():
+                f = self.sorted_forms[i]
+                if (d := slips(word, f, most)) <= most:
+                    for s in self.forms[f]:
+                        near[s] = min(d, near.get(s, 9))
+        if len(word) >= 2:
+            put(self.skeletons.get(word, ()), SHORT)
+        for w in {word, stem}:
+            if len(w) >= (3 if dot else 4):
+                i = bisect_left(self.sorted_forms, w)
+                while i < len(self.sorted_forms) and self.sorted_forms[i].startswith(w):
+                    put(self.forms[self.sorted_forms[i]], SHORT)
+                    i += 1
+        if len(stem) >= 2:
+            for f in self.by_initial.get(stem[0], ()):
+                if len(f) > len(stem) + 1 and _subsequence(stem, f):
+                    put(self.forms[f], CONTRACTED if f[-1] == stem[-1] or f[-1] == "s" and f[-2] == stem[-1] else LOOSE)
+        if min([SLIP * d for d in near.values()] + list(short.values()), default=9.0) > 2.5:
             for w in {word, stem}:
-                if len(w) >= (3 if dot else 4):
-                    i = bisect_left(self.sorted_forms, w)
-                    while i < len(self.sorted_forms) and self.sorted_forms[i].startswith(w):
-                        put(self.forms[self.sorted_forms[i]], 1.0)
-                        i += 1
-            if len(word) >= 4:
-                near = [(slips(word, f), f) for _, f in self.word_tree.within(word, 2)]
-                near = [(d, f) for d, f in near if d <= (1 if len(word) < 6 else 2)]
-                if not near and len(word) >= 6:  # two slips with a swap among them are up to four edits
-                    near = [(d, f) for d, f in ((slips(word, f), f) for _, f in self.word_tree.within(word, 3)) if d <= 2]
-                best = min((d for d, _ in near), default=9)
-                for d, f in near:
-                    if d == best:
-                        put(self.forms[f], 1.2 * d)
-            if len(stem) >= 2:
-                for f in self.by_initial.get(stem[0], ()):
-                    if len(f) > len(stem) + 1 and _subsequence(stem, f):
-                        put(self.forms[f], 2.0 if f[-1] == stem[-1] or f[-1] == "s" and f[-2] == stem[-1] else 3.0)
-            if not out or min(out.values()) > 2.5:
-                for w in {word, stem}:
-                    if len(w) >= 4:
-                        for d, k in self.bones_tree.within(w, 1):
-                            put(self.skeletons[k], 2.6)
-                        starts = {w[0], w[1]}
-                        for f in (f for ch in starts for f in self.by_initial.get(ch, ())):  # a shortened word with a slip
-                            if len(f) > len(w) and slips(w, f[: len(w)], 1) <= 1 and (dot or len(w) >= 5):
-                                put(self.forms[f], 2.8)
-                        for f in self.by_initial.get(w[0], ()):
-                            if len(f) > len(w) + 1 and any(_subsequence(w[:i] + w[i + 1 :], f) for i in range(1, len(w))):
-                                put(self.forms[f], 4.0)
-                            elif len(f) > len(w) + 1 and any(_subsequence(w[:i] + w[i + 1] + w[i] + w[i + 2 :], f) for i in range(1, len(w) - 1)):
-                                put(self.forms[f], 4.0)
-        else:
-            out[word] = 0.0
-        self.tokens[word, dot] = out
-        return out
-
-    def _pieces(self, word: str) -> list[str] | None:
-        """A token that is several words without gaps."""
+                if len(w) >= 4:
+                    for _, k in self.bones.within(w, 1):
+                        put(self.skeletons[k], SLIPPED_SKELETON)
+                    for f in (f for ch in {w[0], w[1]} for f in self.by_initial.get(ch, ())):  # a shortened word with a slip
+                        if len(f) > len(w) and slips(w, f[: len(w)], 1) <= 1 and (dot or len(w) >= 5):
+                            put(self.forms[f], SLIPPED_START)
+                    for f in self.by_initial.get(w[0], ()):
+                        if len(f) > len(w) + 1 and (any(_subsequence(w[:i] + w[i + 1 :], f) for i in range(1, len(w))) or any(_subsequence(w[:i] + w[i + 1] + w[i] + w[i + 2 :], f) for i in range(1, len(w) - 1))):
+                            put(self.forms[f], SLIPPED_CONTRACTION)
+        return Reading(set(), near, short)
+
+    def pieces(self, word: str) -> list[str] | None:
+        """The words of a token that is several known words without gaps."""
         best: dict[int, list[str]] = {0: []}
         for i in range(len(word)):
             if i in best:
-                for j in range(i + 2, len(word) + 1):
+                for j in range(i + 2, min(len(word), i + self.longest) + 1):
                     w = word[i:j]
                     if (w in self.forms or (i and w in LINKING)) and (j not in best or len(best[j]) > len(best[i]) + 1):
                         best[j] = [*best[i], w]
         got = best.get(len(word))
         return got if got and len(got) > 1 else None
 
-    def _tokens_of(self, text: str) -> list[tuple[str, bool]]:
-        text = _CAMEL.sub(" ", text)
+    def tokens(self, text: str) -> list[tuple[str, bool]]:
         out = []
-        for w, dot in _WORD.findall(fold(text)):
+        for w, dot in _WORD.findall(fold(_CAMEL.sub(" ", text))):
             if w in LINKING:
                 continue
-            parts = self._pieces(w) if len(w) >= 8 and w not in self.forms else None
+            parts = self.pieces(w) if len(w) >= 8 and w not in self.forms else None
             if parts:
                 out += [(p, False) for p in parts if p not in LINKING]
             else:
                 out.append((w, dot == "."))
         return out
 
-    def _names_word(self, text: str) -> bool:
-        return any(self._token(w, d) for w, d in self._tokens_of(text) if len(w) > 2)
-
-    def _variants(self, text: str) -> Iterator[str]:
-        """The text, then without what decorates it: numbering, remarks, and what stands before a colon, slash or '>'. What names a
-        word of the entries is never a decoration."""
+    def _decorates(self, part: str, pattern) -> bool:
+        """Whether a part only decorates: not all of its words name words of the reference list."""
+        if pattern is _NUMBERED:
+            return True
+        named = 0
+        for w, dot in self.tokens(part):
+            r = self.read(w, dot)
+            if w.isdigit() or not (r.known or any(d <= 1 for d in r.near.values()) or any(c <= SLIP for c in r.short.values())):
+                return True
+            named += 1
+        return not named
+
+    def variants(self, text: str) -> Iterator[str]:
+        """The text, then without what decorates it: numbering, remarks, and what stands before a colon, slash or '>'."""
         seen = set()
         todo = [text]
         while todo:
@@ -217,90 +219,195 @@ class Reference:
             yield t
             for pattern in (_NUMBERED, _SQUARE, _ROUND, _HEAD, _TAIL):
                 m = pattern.search(t)
-                if m and m.group().strip() and (rest := (t[: m.start()] + " " + t[m.end() :]).strip()) and not self._decorates(m.group(), pattern):
+                if m and m.group().strip() and (rest := (t[: m.start()] + " " + t[m.end() :]).strip()) and self._decorates(m.group(), pattern):
                     todo.append(rest)
 
-    def _decorates(self, part: str, pattern) -> bool:
-        """True where the part must stay."""
-        if pattern is _NUMBERED:
-            return False
-        return any(singular(w) in self.stems or w in self.forms or any(c <= 1.2 for c in self._token(w, False).values()) for w, _ in self._tokens_of(part) if len(w) > 3)
 
-    def resolve(self, text: str) -> tuple[float, str] | None:
-        """(cost, iri) of the entry the text names, or None."""
-        got = self.texts.get(text)
-        if got is None:
-            if len(self.texts) > 200_000:
-                self.texts.clear()
-            got = self._resolve(text) or (-1.0, "")
-            self.texts[text] = got
-        return got if got[0] >= 0 else None
+class Reference:
+    """Search structures over one shard of the reference list: (iri, names of the entry).
+
+    An entry is the multiset of its words' stems. BK-trees over the entries, one for each number of words, hold them under the order-free edit metric: the least
+    number of letters to insert, lose or replace when the words of two entries are paired in the best way (Levenshtein distance as the ground metric). A text's
+    tokens are paired the same way; the triangle inequality leaves out subtrees that can't hold an entry within the threshold, and every entry within it comes out.
+    The exact check that follows demands that known words stand for themselves, that slips (a swap counts once) are two in all at most, and takes the
+    cheapest entry. Text without any gap is searched as a whole in a BK-tree over the joined entries."""
 
-    def _resolve(self, text: str) -> tuple[float, str] | None:
+    def __init__(self, entries: list[tuple[str, list[str]]], vocabulary: Vocabulary | None = None):
+        if vocabulary is None:
+            vocabulary = Vocabulary(*reference_words(n for _, names in entries for n in names))
+        self.vocabulary = vocabulary
+        self.by_tail: dict[str, str] = {}
+        self.squashed: dict[str, str] = {}
+        by_words: dict[tuple, str] = {}
+        for iri, names in entries:
+            self._keep(self.by_tail, iri_tail(iri), iri)
+            for name in names:
+                words = name_words(name)
+                if not words:
+                    continue
+                stems = [singular(w) for w in words]
+                self._keep(by_words, tuple(sorted(stems)), iri)
+                for order in (words, [words[-1], *words[:-1]], [stems[-1], "of", *words[:-1]], [stems[-1], "for", *words[:-1]], [*words[:-1], stems[-1]]):
+                    self._keep(self.squashed, "".join(order), iri)
+        self.words = sorted({s for k in by_words for s in k})
+        self.at = {w: i for i, w in enumerate(self.words)}
+        self.spellings = Spellings(self.words)
+        self.trees: dict[int, EntryTree] = {}
+        self.iris: dict[int, list[str]] = {}
+        sizes: dict[int, list[tuple]] = {}
+        for k in sorted(by_words):
+            sizes.setdefault(len(k), []).append(k)
+        for n, keys in sizes.items():
+            self.trees[n] = EntryTree(np.array([[self.at[w] for w in k] for k in keys], np.int32), self.spellings)
+            self.iris[n] = [by_words[k] for k in keys]
+        self._joined: BKTree | None = None
+        self.rows: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray, int] | None] = {}
+        self.asked: dict[tuple, tuple[float, str] | None] = {}
+        self.texts: dict[str, tuple[float, int, str] | None] = {}
+
+    @staticmethod
+    def _keep(to: dict, key, iri: str) -> None:
+        if key not in to or iri < to[key]:  # two entries with one name: the smaller IRI
+            to[key] = iri
+
+    def _row(self, token: tuple[str, bool]) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Least and greatest distance of what a token may stand for to each word of the shard, and how far off the stems are that it may be a slip of. None
+        where it can stand for no word of this shard."""
+        if token in self.rows:
+            return self.rows[token]
+        if len(self.rows) * len(self.words) > 100_000_000:
+            self.rows.clear()
+        reading = self.vocabulary.read(*token)
+        got = None
+        if any(s in self.at for s in reading.costs):
+            options = {s for s in (*reading.known, *reading.short) if s in self.at}
+            reach = 0
+            if reading.near:
+                typed = {token[0], singular(token[0])}
+                least = np.minimum.reduce([self.spellings.row(w) for w in typed])
+                far = {s: int(least[self.at[s]]) for s in reading.near if s in self.at}
+                options |= {s for s, d in far.items() if d > 2 * reading.near[s]}  # met through its plural only
+                reach = max([d for s, d in far.items() if s not in options], default=0)
+                if far:
+                    options |= typed
+            rows = [self.spellings.row(o) for o in options]
+            got = (rows[0], rows[0], reach) if len(rows) == 1 else (np.minimum.reduce(rows), np.maximum.reduce(rows), reach)
+        self.rows[token] = got
+        return got
+
+    def _cost(self, tokens: tuple, entry: list[int]) -> float | None:
+        """The cost of reading the tokens as the words of an entry, or None: the best pairing with at most SLIPS slips in all."""
+        words = [self.words[i] for i in entry]
+        state: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        for t in tokens:
+            costs = self.vocabulary.read(*t).costs
+            after: dict[tuple[int, int], float] = {}
+            for (mask, used), c in state.items():
+                for j, w in enumerate(words):
+                    if not mask >> j & 1:
+                        for more, s in costs.get(w, ()):
+                            if used + s <= SLIPS and c + more < after.get(key := (mask | 1 << j, used + s), 99.0):
+                                after[key] = c + more
+            state = after
+        return min(state.values(), default=None)
+
+    def _ask(self, queries: set[tuple]) -> None:
+        """Answers all token multisets at once: (cost, iri) of the cheapest entry each may name."""
+        if len(self.asked) > 300_000:
+            self.asked.clear()
+        groups: dict[int, list[tuple]] = {}
+        for q in queries:
+            if q not in self.asked:
+                self.asked[q] = None
+                if len(q) in self.trees and all(self._row(t) is not None for t in q):
+                    groups.setdefault(len(q), []).append(q)
+        for n, qs in groups.items():
+            tokens = {t: i for i, t in enumerate(dict.fromkeys(t for q in qs for t in q))}
+            rows = [self._row(t) for t in tokens]
+            low, high = np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows])
+            ids = np.array([[tokens[t] for t in q] for q in qs], np.int32)
+            radius = np.minimum(np.array([r[2] for r in rows], np.int32)[ids].sum(axis=1), 2 * SLIPS)
+            for i, node in self.trees[n].within(low, high, ids, radius):
+                cost = self._cost(qs[i], self.trees[n].entries[node].tolist())
+                if cost is not None and (self.asked[qs[i]] is None or (cost, self.iris[n][node]) < self.asked[qs[i]]):
+                    self.asked[qs[i]] = (cost, self.iris[n][node])
+
+    def _whole(self, word: str) -> tuple[float, str] | None:
+        """The entry that a text without gaps names, with at most two slips."""
+        if self._joined is None:
+            self._joined = BKTree(sorted(self.squashed))
+        near = [(SLIP * d + 0.5, self.squashed[e]) for _, e in self._joined.within(word, 2 * SLIPS) if (d := slips(word, e)) <= SLIPS]
+        return min(near, default=None)
+
+    def _by_iri(self, text: str) -> tuple[bool, str | None]:
+        """Whether the text is to be judged as an IRI, and the entry that it names."""
         m = _IRI.match(text.replace("\xa0", " "))
         if m and (iri := self.by_tail.get(iri_tail(m.group(1)))) is not None:
-            return 0.0, iri
+            return True, iri
         if m and ("://" in text or _PREDICATE.match(text)):
-            return None
-        if (iri := self.by_tail.get(_AROUND.sub("", text))) is not None:
-            return 0.0, iri
-        best: tuple[float, str] | None = None
-        variants = []
-        for v in self._variants(self._repair(text)):
-            tokens = self._tokens_of(v)
-            if not tokens:
+            return True, None
+        iri = self.by_tail.get(_AROUND.sub("", text))
+        return iri is not None, iri
+
+    def resolve_many(self, texts: Iterable[str]) -> dict[str, tuple[float, int, str] | None]:
+        """For each text (cost, number of the variant, iri) of the entry it names, or None."""
+        texts = set(texts)
+        if len(self.texts) + len(texts) > 200_000:
+            self.texts.clear()
+        todo: dict[str, list[tuple[str, tuple]]] = {}
+        longest = max(self.trees, default=0)
+        for t in texts:
+            if t in self.texts:
                 continue
-            iri = self.by_words.get(tuple(sorted(singular(w) for w, _ in tokens)))
-            if iri is None and v.strip().isascii():
-                iri = self.squashed.get(re.sub("[^a-z0-9]", "", fold(v)))
-            if iri is not None:
-                return 0.0, iri
-            variants.append((v, tokens))
-        for v, tokens in variants:
-            if len(tokens) > TOKENS:
+            self.texts[t] = None
+            judged, iri = self._by_iri(t)
+            if judged:
+                self.texts[t] = None if iri is None else (0.0, 0, iri)
                 continue
-            options = [self._token(w, d) for w, d in tokens]
-            if all(options):
-                options = [sorted(o.items(), key=lambda x: (x[1], x[0]))[:12] for o in options]
-                ways = 1
-                for o in options:
-                    ways *= len(o)
-                while ways > 20_000:  # the dearest reading of the most ambiguous token goes
-                    longest = max(options, key=len)
-                    ways = ways // len(longest) * (len(longest) - 1)
-                    longest.pop()
-                for combo in product(*options):
-                    cost = sum(c for _, c in combo)
-                    if best is not None and cost > best[0]:
-                        continue
-                    iri = self.by_words.get(tuple(sorted(s for s, _ in combo)))
-                    if iri is not None and (best is None or (cost, iri) < best):
-                        best = (cost, iri)
-            if len(tokens) <= 2 and best is None:
-                whole = "".join(w for w, _ in tokens)
-                if len(whole) >= 12 and not whole.isdigit():
-                    if self._entry_tree is None:
-                        self._entry_tree = BKTree(sorted(self.squashed))
-                    near = [(slips(whole, e), self.squashed[e]) for _, e in self._entry_tree.within(whole, 3)]
-                    near = sorted((1.2 * d + 0.5, iri) for d, iri in near if d <= 2)
-                    if near and len(tokens) == 1:
-                        best = near[0]
-        return best
-
-
-def shards(reference: DataFrame, most: int = SHARD_ENTRIES) -> list[list[tuple[str, list[str]]]]:
-    """The reference list in shards of at most ``most`` entries, by hash of the IRI. ``reference`` has iri and names (an array).
-    The list is small by nature; its size is counted before any of it is read, and each shard is read by itself."""
-    n = reference.count()
-    parts = max(1, -(-n // (most // 2 if n > most else most)))
-    out = []
-    for k in range(parts):
-        part = reference if parts == 1 else reference.filter(F.pmod(F.xxhash64("iri"), F.lit(parts)) == k)
-        rows = [(r.iri, [x for x in r.names if x and x.strip()]) for r in part.select("iri", "names").collect()]
-        if len(rows) > most:
-            raise ValueError("a shard of the reference list is too large")
-        out.append(sorted(rows))
-    return out
+            todo[t] = []
+            for v in self.vocabulary.variants(self.vocabulary.repair(t)):
+                tokens = self.vocabulary.tokens(v)
+                if tokens:
+                    todo[t].append((v, tuple(sorted(tokens)) if len(tokens) <= longest else ()))
+        self._ask({q for vs in todo.values() for _, q in vs if q})
+        for t, vs in todo.items():
+            best = None
+            for k, (v, q) in enumerate(vs):
+                got = self.asked.get(q) if q else None
+                if got is None or got[0] > 0:
+                    joined = re.sub("[^a-z0-9]", "", fold(v))
+                    if (iri := self.squashed.get(joined)) is not None:
+                        got = (0.0, iri)
+                    elif got is None and len(q) == 1 and len(joined) >= 12 and not joined.isdigit() and not self.vocabulary.read(*q[0]).known:
+                        got = self._whole(q[0][0])
+                if got is not None and (best is None or (got[0], k, got[1]) < best):
+                    best = (got[0], k, got[1])
+            self.texts[t] = best
+        return {t: self.texts[t] for t in texts}
+
+    def resolve(self, text: str) -> tuple[float, str] | None:
+        """(cost, iri) of the entry the text names, or None."""
+        got = self.resolve_many([text])[text]
+        return None if got is None else (got[0], got[2])
+
+
+def reference_words(names: Iterable[str]) -> tuple[set[str], set[str]]:
+    """The distinct words of names, and their letters beyond ASCII."""
+    words: set[str] = set()
+    letters: set[str] = set()
+    for n in names:
+        words.update(name_words(n))
+        if not n.isascii():
+            letters.update(ch for ch in n if not ch.isascii() and ch.isalpha())
+    return words, letters
+
+
+def _shard(reference: DataFrame, k: int, parts: int, most: int) -> list[tuple[str, list[str]]]:
+    part = reference if parts == 1 else reference.filter(F.pmod(F.xxhash64("iri"), F.lit(parts)) == k)
+    rows = [(r.iri, [x for x in r.names if x and x.strip()]) for r in part.select("iri", "names").limit(4 * most + 17).collect()]
+    if len(rows) > 4 * most + 16:  # shards hold half of ``most`` on average
+        raise ValueError("a shard of the reference list is too large")
+    return sorted(rows)
 
 
 def entry_names(concepts: DataFrame) -> DataFrame:
@@ -313,36 +420,49 @@ _REFERENCES: dict[int, Reference] = {}
 
 
 def resolve(texts: DataFrame, reference: DataFrame, most: int = SHARD_ENTRIES) -> DataFrame:
-    """Adds iri, that of the entry which the column ``text`` names, or 'none'; other columns of ``texts`` stay. A null or blank
-    text names none. The rows aren't shuffled: each task holds the structures of a shard of the reference list and remembers the
-    texts it has met. With more than one shard every row meets each shard and the cheapest answer wins (then the smaller IRI)."""
-    others = [c for c in texts.columns if c != "text"]
-    fields = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in others)
+    """Adds iri, that of the entry which the column ``text`` names, or 'none'; other columns of ``texts`` stay, but for one called iri. A null or blank
+    text names none. ``reference`` has iri and names (an array).
+
+    The rows aren't shuffled: each task holds the trees of one shard of the reference list and remembers the texts it has met. A list of more than ``most`` entries is
+    cut into shards by hash of the IRI; the rows pass one shard after the other, each keeping the cheapest answer so far (then the earlier variant of the text, then the
+    smaller IRI). What a word may stand for is decided by the words of the whole list, so the answers don't depend on the shards."""
+    others = [c for c in texts.columns if c not in ("text", "iri")]
+    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in others)
+    n = reference.count()
+    parts = 1 if n <= most else -(-n // max(1, most // 2))
+    words: set[str] = set()
+    letters: set[str] = set()
+    for k in range(parts):
+        for seen, new in zip((words, letters), reference_words(x for _, names in _shard(reference, k, parts, most) for x in names)):
+            seen |= new
+        if len(words) > REFERENCE_WORDS:
+            raise ValueError("the reference list has too many words")
+    sent = (sorted(words), sorted(letters))
 
-    def against(entries: list):
-        mark = hash(tuple((i, *n) for i, n in entries))
+    def against(state: DataFrame, entries: list) -> DataFrame:
+        mark = hash((tuple((i, *x) for i, x in entries), len(sent[0])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ref = _REFERENCES.get(mark)
             if ref is None:
                 _REFERENCES.clear()
-                ref = _REFERENCES[mark] = Reference(entries)
+                ref = _REFERENCES[mark] = Reference(entries, Vocabulary(*sent))
             for b in batches:
-                got = [ref.resolve(t) if t and t.strip() else None for t in b.column(b.num_columns - 1).to_pylist()]
-                iri = pa.array([g[1] if g else None for g in got], pa.string())
-                cost = pa.array([g[0] if g else None for g in got], pa.float64())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], iri, cost], names=[*others, "iri", "cost"])
-
-        return texts.select(*others, "text").mapInArrow(run, f"{fields}, iri string, cost double")
-
-    parts = [against(s) for s in shards(reference, most)]
-    if len(parts) == 1:
-        return parts[0].select(*others, F.coalesce("iri", F.lit("none")).alias("iri"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    won = every.groupBy(*others).agg(F.min_by("iri", F.when(F.col("iri").isNotNull(), F.struct("cost", "iri"))).alias("iri"))
-    return won.select(*others, F.coalesce("iri", F.lit("none")).alias("iri"))
+                asked, cost, variant, iri = (c.to_pylist() for c in b.columns[-4:])
+                got = ref.resolve_many(t for t in asked if t and t.strip())
+                best = [min((x for x in (got.get(t), None if c is None else (c, v, i)) if x is not None), default=(None, None, None)) for t, c, v, i in zip(asked, cost, variant, iri)]
+                cols = [pa.array([x[j] for x in best], kind) for j, kind in enumerate((pa.float64(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], *cols], names=[*others, "_text", "_cost", "_variant", "_iri"])
+
+        return state.mapInArrow(run, f"{fields}{', ' if others else ''}_text string, _cost double, _variant int, _iri string")
+
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("_cost", "double"), ("_variant", "int"), ("_iri", "string"))]
+    state = texts.select(*others, F.col("text").alias("_text"), *none)
+    for k in range(parts):
+        state = against(state, _shard(reference, k, parts, most))
+        if k < parts - 1:
+            state = cut(state)
+    return state.select(*others, F.coalesce("_iri", F.lit("none")).alias("iri"))
 
 
 def found(values: DataFrame, proposals: DataFrame, concepts: DataFrame) -> DataFrame:

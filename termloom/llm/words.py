@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
 
 #: Small linking words that carry no meaning in a heading.
 LINKING = frozenset("a an and at by for from in of on or re the to with".split())
@@ -129,3 +132,154 @@ class BKTree:
                 if d - radius <= k <= d + radius:
                     todo.append(child)
         return found
+
+
+class Spellings:
+    """Distances of one word to all words of a list at once: the same bits as ``edits``, one lane for each word of the list. Longer words than
+    a lane has bits are measured one by one."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        lengths = [len(w) for w in words]
+        self.long = [i for i, n in enumerate(lengths) if n > 63]
+        self.bits: dict[str, np.ndarray] = {}
+        for i, w in enumerate(words):
+            if lengths[i] <= 63:
+                for p, ch in enumerate(w):
+                    if ch not in self.bits:
+                        self.bits[ch] = np.zeros(len(words), np.uint64)
+                    self.bits[ch][i] |= np.uint64(1 << p)
+        self.length = np.array(lengths, np.int32)
+        self.full = np.array([(1 << min(n, 63)) - 1 for n in lengths], np.uint64)
+        self.last = np.array([1 << max(min(n, 63) - 1, 0) for n in lengths], np.uint64)
+        self.none = np.zeros(len(words), np.uint64)
+        self.held: dict[str, np.ndarray] = {}
+
+    def row(self, word: str) -> np.ndarray:
+        """Levenshtein distances of ``word`` to each word of the list."""
+        got = self.held.get(word)
+        if got is not None:
+            return got
+        if len(self.held) * len(self.words) > 20_000_000:
+            self.held.clear()
+        one = np.uint64(1)
+        up, down, score = self.full.copy(), self.none.copy(), self.length.copy()
+        for ch in word:
+            eq = self.bits.get(ch, self.none)
+            x = eq | down
+            eq = eq | (((eq & up) + up) ^ up)
+            more, less = down | (~(eq | up) & self.full), up & eq
+            score += (more & self.last) != 0
+            score -= (less & self.last) != 0
+            more = (more << one) | one
+            less = less << one
+            up = (less | ~(x | more)) & self.full
+            down = more & x & self.full
+        for i in self.long:
+            score[i] = edits(word, self.words[i])
+        self.held[word] = score
+        return score
+
+
+def pairing(cost: np.ndarray) -> np.ndarray:
+    """The least sum when the n rows of each n x n matrix are paired with its columns. Matrices of more than ten rows are solved one by one."""
+    n = cost.shape[1]
+    if n == 1:
+        return cost[:, 0, 0]
+    if n > 10:
+        return np.array([_hungarian(c) for c in cost.tolist()], np.int32)
+    state = {0: np.zeros(len(cost), np.int32)}
+    for i in range(n):
+        after: dict[int, np.ndarray] = {}
+        for mask, c in state.items():
+            for j in range(n):
+                if not mask >> j & 1:
+                    v, key = c + cost[:, i, j], mask | 1 << j
+                    after[key] = np.minimum(after[key], v) if key in after else v
+        state = after
+    return state[(1 << n) - 1]
+
+
+def _hungarian(cost: list[list[int]]) -> int:
+    """Least pairing by augmenting paths with potentials."""
+    n = len(cost)
+    u, v, owner = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        least, way, used = [10**9] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while True:
+            used[j0] = True
+            row, step, j1 = owner[j0], 10**9, 0
+            for j in range(1, n + 1):
+                if not used[j]:
+                    c = cost[row - 1][j - 1] - u[row] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < step:
+                        step, j1 = least[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            j0 = j1
+            if owner[j0] == 0:
+                break
+        while j0:
+            owner[j0] = owner[way[j0]]
+            j0 = way[j0]
+    return -v[0]
+
+
+class EntryTree:
+    """BK-tree over entries of n words each (rows of word numbers) under the order-free edit metric: the least sum of Levenshtein distances when the words of
+    two entries are paired. It is built and searched level by level, for many queries at once."""
+
+    def __init__(self, entries: np.ndarray, spellings: Spellings):
+        self.entries = entries
+        count = len(entries)
+        here = np.arange(1, count, dtype=np.int64)
+        parent = np.zeros(count - 1, np.int64)
+        keys, nodes = [], []
+        while len(here):
+            d = np.empty(len(here), np.int64)
+            order = np.argsort(parent, kind="stable")
+            for part in np.array_split(order, max(1, len(order) // 20_000)):
+                words, at = np.unique(entries[parent[part]], return_inverse=True)
+                rows = np.stack([spellings.row(spellings.words[w]) for w in words])
+                d[part] = pairing(rows[at.reshape(-1, entries.shape[1])[:, :, None], entries[here[part]][:, None, :]])
+            edge = (parent << 16) | np.minimum(d, 65_535)
+            first, where, back = np.unique(edge, return_index=True, return_inverse=True)
+            keys.append(first)
+            nodes.append(here[where])
+            left = np.ones(len(here), bool)
+            left[where] = False
+            parent = here[where][back][left]
+            here = here[left]
+        order = np.argsort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        self.edges = np.concatenate(keys)[order] if keys else order
+        self.nodes = np.concatenate(nodes)[order] if keys else order
+
+    def within(self, low: np.ndarray, high: np.ndarray, queries: np.ndarray, radius: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(query, entry) for every entry within the query's radius. A query is n numbers of rows of ``low`` and ``high``: the least and the greatest distance of what
+        a token may stand for to each word. With d the distance of a query to a node, entries below a child at edge e are at least |d - e| away."""
+        unsure = (low != high).any(axis=1)
+        size = max(16, 1_500_000 // (len(self.entries) + 1))
+        for start in range(0, len(queries), size):
+            query = np.arange(start, min(len(queries), start + size))
+            node = np.zeros(len(query), np.int64)
+            while len(query):
+                token, words, r = queries[query][:, :, None], self.entries[node][:, None, :], radius[query]
+                near = pairing(low[token, words])
+                far = near.copy()
+                wide = unsure[queries[query]].any(axis=1)
+                if wide.any():
+                    far[wide] = pairing(high[token[wide], words[wide]])
+                hit = near <= r
+                yield from zip(query[hit].tolist(), node[hit].tolist())
+                a = np.searchsorted(self.edges, (node << 16) | np.clip(near - r, 0, 65_535))
+                z = np.searchsorted(self.edges, (node << 16) | np.clip(far + r, 0, 65_535), side="right")
+                many = np.maximum(z - a, 0)
+                query = np.repeat(query, many)
+                node = self.nodes[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]

@@ -1,7 +1,10 @@
+import itertools
 import random
 
 from termloom.llm.canonical import Reference, entry_names, found, resolve
-from termloom.llm.words import BKTree, edits, slips
+import numpy as np
+
+from termloom.llm.words import BKTree, EntryTree, Spellings, edits, pairing, slips, _hungarian
 
 CONCEPTS = [
     ("https://v.example/R1", "Contested Tariff Agreements", ["Contested Tariff Contracts", "KX-1207"]), ("https://v.example/R2", "Břesnov Merger Investigations", []),
@@ -62,3 +65,47 @@ def plain(a, b):
 
 def test_slips_count_swaps_once():
     assert slips("tariff", "tairff") == 1 and slips("tariff", "tariff") == 0 and slips("abc", "xyz") == 3 and slips("a", "abcdef") == 3
+
+
+def test_answers_do_not_depend_on_shards(spark):
+    entries = [("x:1", ["Patent Filing"]), ("x:2", ["Foreign Filling"]), ("x:3", ["Widow Agreements"]), ("x:4", ["Overland Terminations"]), ("x:5", ["Orchard Transfers"])]
+    ref = spark.createDataFrame(entries, "iri string, names array<string>")
+    texts = ["foreign filing", "patent filling", "Patent Filnig", "Forign Filling", "Widow Agreements [old term]", "agmts, widow", "Orchard Trnasfesr", "Overland Termiantions (?)", None]
+    df = spark.createDataFrame([(n, t, "kept") for n, t in enumerate(texts)], "id long, text string, iri string")
+    want = {0: "none", 1: "none", 2: "x:1", 3: "x:2", 4: "x:3", 5: "x:3", 6: "x:5", 7: "x:4", 8: "none"}
+    for most in (100, 4, 2):
+        assert {r.id: r.iri for r in resolve(df, ref, most=most).collect()} == want
+
+
+def test_spellings_measure_all_words_at_once():
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12))) for _ in range(150)} | {"ab" * 50, "b" * 63})
+    s = Spellings(words)
+    for q in ["", "abab", "ab" * 49 + "c", *("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 14))) for _ in range(40))]:
+        assert s.row(q).tolist() == [plain(q, w) for w in words]
+
+
+def test_entry_tree_finds_every_entry_within_the_threshold():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))) for _ in range(40)})
+    s = Spellings(words)
+    for n in (1, 2, 3):
+        entries = np.array(sorted({tuple(sorted(rng.randrange(len(words)) for _ in range(n))) for _ in range(150)}), np.int32)
+        tree = EntryTree(entries, s)
+        low = np.stack([s.row("".join(rng.choice("abc") for _ in range(4))) for _ in range(20)])
+        high = low.copy()
+        low[:5] = np.minimum(low[:5], s.row("ab"))
+        high[:5] = np.maximum(high[:5], s.row("ab"))
+        queries = np.array([[rng.randrange(20) for _ in range(n)] for _ in range(60)], np.int32)
+        radius = np.array([rng.randrange(4) for _ in queries], np.int32)
+        got = sorted(tree.within(low, high, queries, radius))
+        want = sorted((q, e) for q, t in enumerate(queries) for e, w in enumerate(entries) if min(sum(low[a, b] for a, b in zip(t, p)) for p in itertools.permutations(w)) <= radius[q])
+        assert got == want
+
+
+def test_pairing():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 5):
+        cost = rng.integers(0, 20, (30, n, n))
+        want = [min(sum(c[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(n))) for c in cost]
+        assert pairing(cost).tolist() == want == [_hungarian(c.tolist()) for c in cost]
