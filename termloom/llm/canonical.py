@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.words import LINKING, BKTree, EntryTree, Spellings, fold, plural, singular, slips
+from termloom.llm.words import LINKING, BKTree, EntryTree, Spellings, StringTree, fold, plural, singular, slips
 from termloom.runtime import cut
 
 #: A shard of the reference list holds at most so many entries; each shard is one closure of bounded size, and the driver holds one at a time.
@@ -260,7 +260,8 @@ class Reference:
         for n, keys in sizes.items():
             self.trees[n] = EntryTree(np.array([[self.at[w] for w in k] for k in keys], np.int32), self.spellings)
             self.iris[n] = [by_words[k] for k in keys]
-        self._joined: BKTree | None = None
+        self._joined: StringTree | None = None
+        self.whole: dict[str, tuple[float, str] | None] = {}
         self.rows: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray, int] | None] = {}
         self.asked: dict[tuple, tuple[float, str] | None] = {}
         self.texts: dict[str, tuple[float, int, str] | None] = {}
@@ -332,12 +333,21 @@ class Reference:
                 if cost is not None and (self.asked[qs[i]] is None or (cost, self.iris[n][node]) < self.asked[qs[i]]):
                     self.asked[qs[i]] = (cost, self.iris[n][node])
 
-    def _whole(self, word: str) -> tuple[float, str] | None:
-        """The entry that a text without gaps names, with at most two slips."""
+    def _ask_whole(self, words: set[str]) -> None:
+        """Answers texts without gaps at once: the entry each names with at most two slips."""
+        if len(self.whole) > 300_000:
+            self.whole.clear()
+        new = sorted(w for w in words if w not in self.whole)
+        if not new:
+            return
         if self._joined is None:
-            self._joined = BKTree(sorted(self.squashed))
-        near = [(SLIP * d + 0.5, self.squashed[e]) for _, e in self._joined.within(word, 2 * SLIPS) if (d := slips(word, e)) <= SLIPS]
-        return min(near, default=None)
+            self._joined = StringTree(sorted(self.squashed))
+        self.whole.update(dict.fromkeys(new))
+        for w, e in self._joined.within(new, 2 * SLIPS):
+            if (d := slips(w, e)) <= SLIPS:
+                got = (SLIP * d + 0.5, self.squashed[e])
+                if self.whole[w] is None or got < self.whole[w]:
+                    self.whole[w] = got
 
     def _by_iri(self, text: str) -> tuple[bool, str | None]:
         """Whether the text is to be judged as an IRI, and the entry that it names."""
@@ -370,16 +380,17 @@ class Reference:
                 if tokens:
                     todo[t].append((v, tuple(sorted(tokens)) if len(tokens) <= longest else ()))
         self._ask({q for vs in todo.values() for _, q in vs if q})
+        gapless = lambda q: len(q) == 1 and len(q[0][0]) >= 12 and not self.vocabulary.read(*q[0]).known and self.asked.get(q) is None
+        self._ask_whole({q[0][0] for vs in todo.values() for _, q in vs if gapless(q)})
         for t, vs in todo.items():
             best = None
             for k, (v, q) in enumerate(vs):
                 got = self.asked.get(q) if q else None
                 if got is None or got[0] > 0:
-                    joined = re.sub("[^a-z0-9]", "", fold(v))
-                    if (iri := self.squashed.get(joined)) is not None:
+                    if (iri := self.squashed.get(re.sub("[^a-z0-9]", "", fold(v)))) is not None:
                         got = (0.0, iri)
-                    elif got is None and len(q) == 1 and len(joined) >= 12 and not joined.isdigit() and not self.vocabulary.read(*q[0]).known:
-                        got = self._whole(q[0][0])
+                    elif gapless(q):
+                        got = self.whole[q[0][0]]
                 if got is not None and (best is None or (got[0], k, got[1]) < best):
                     best = (got[0], k, got[1])
             self.texts[t] = best

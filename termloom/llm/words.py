@@ -283,3 +283,80 @@ class EntryTree:
                 many = np.maximum(z - a, 0)
                 query = np.repeat(query, many)
                 node = self.nodes[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+
+
+class StringTree:
+    """BK-tree over strings under Levenshtein distance, built and searched level by level for many strings at once: each (query, node) pair is a lane
+    of the same bits as ``edits``. Strings longer than a lane has bits are kept apart and measured one by one."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = [s for s in strings if len(s) <= 63]
+        self.long = [s for s in strings if len(s) > 63]
+        self.code = {ch: i + 1 for i, ch in enumerate(sorted(set("".join(self.strings))))}
+        count = len(self.strings)
+        self.length = np.array([len(s) for s in self.strings], np.int64)
+        self.bits = np.zeros((count, len(self.code) + 1), np.uint64)
+        for i, s in enumerate(self.strings):
+            for p, ch in enumerate(s):
+                self.bits[i, self.code[ch]] |= np.uint64(1 << p)
+        typed, sizes = self._codes(self.strings)
+        here = np.arange(1, count, dtype=np.int64)
+        parent = np.zeros(max(count - 1, 0), np.int64)
+        edges, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(here):
+            edge = (parent << 16) | self._far(typed, sizes, here, parent)
+            first, where, back = np.unique(edge, return_index=True, return_inverse=True)
+            edges.append(first)
+            nodes.append(here[where])
+            left = np.ones(len(here), bool)
+            left[where] = False
+            parent, here = here[where][back][left], here[left]
+        order = np.argsort(np.concatenate(edges))
+        self.edges, self.nodes = np.concatenate(edges)[order], np.concatenate(nodes)[order]
+
+    def _codes(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(s) for s in strings], np.int64)
+        out = np.zeros((len(strings), int(sizes.max(initial=0))), np.int16)
+        for i, s in enumerate(strings):
+            out[i, : len(s)] = [self.code.get(ch, 0) for ch in s]
+        return out, sizes
+
+    def _far(self, typed: np.ndarray, sizes: np.ndarray, query: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Distances of pairs (query, node)."""
+        one = np.uint64(1)
+        n = self.length[node]
+        full = (one << n.astype(np.uint64)) - one
+        last = one << np.maximum(n - 1, 0).astype(np.uint64)
+        up, down, score = full.copy(), np.zeros(len(node), np.uint64), n.copy()
+        result = score.copy()
+        size = sizes[query]
+        for step in range(int(size.max(initial=0))):
+            eq = self.bits[node, typed[query, step]]
+            x = eq | down
+            eq = eq | (((eq & up) + up) ^ up)
+            more, less = down | (~(eq | up) & full), up & eq
+            score = score + ((more & last) != 0) - ((less & last) != 0)
+            more, less = (more << one) | one, less << one
+            up, down = (less | ~(x | more)) & full, more & x & full
+            result = np.where(step < size, score, result)
+        return result
+
+    def within(self, queries: list[str], radius: int) -> Iterator[tuple[str, str]]:
+        """(query, string) for every string within the radius."""
+        for q in queries:
+            for s in self.long:
+                if abs(len(q) - len(s)) <= radius and edits(q, s) <= radius:
+                    yield q, s
+        queries = [q for q in queries if len(q) <= 63 + radius]
+        for start in range(0, len(queries) if self.strings else 0, 256):
+            asked = queries[start : start + 256]
+            typed, sizes = self._codes(asked)
+            query, node = np.arange(len(asked)), np.zeros(len(asked), np.int64)
+            while len(query):
+                d = self._far(typed, sizes, query, node)
+                for i, j in zip(query[d <= radius].tolist(), node[d <= radius].tolist()):
+                    yield asked[i], self.strings[j]
+                a = np.searchsorted(self.edges, (node << 16) | np.maximum(d - radius, 0))
+                many = np.searchsorted(self.edges, (node << 16) | (d + radius), side="right") - a
+                query = np.repeat(query, many)
+                node = self.nodes[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]

@@ -4,7 +4,7 @@ import random
 from termloom.llm.canonical import Reference, entry_names, found, resolve
 import numpy as np
 
-from termloom.llm.words import BKTree, EntryTree, Spellings, edits, pairing, slips, _hungarian
+from termloom.llm.words import BKTree, EntryTree, Spellings, StringTree, edits, pairing, slips, _hungarian
 
 CONCEPTS = [
     ("https://v.example/R1", "Contested Tariff Agreements", ["Contested Tariff Contracts", "KX-1207"]), ("https://v.example/R2", "Břesnov Merger Investigations", []),
@@ -109,3 +109,14 @@ def test_pairing():
         cost = rng.integers(0, 20, (30, n, n))
         want = [min(sum(c[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(n))) for c in cost]
         assert pairing(cost).tolist() == want == [_hungarian(c.tolist()) for c in cost]
+
+
+def test_string_tree_finds_every_string_within_the_radius():
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 10))) for _ in range(200)} | {"ab" * 50, "b" * 63, "b" * 64})
+    tree = StringTree(words)
+    asked = ["ab" * 49 + "c", "b" * 65, "", *("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 11))) for _ in range(50))]
+    asked = sorted(set(asked))
+    for r in (0, 2, 4):
+        assert sorted(tree.within(asked, r)) == sorted((q, w) for q in asked for w in words if plain(q, w) <= r)
+    assert list(StringTree([]).within(["a"], 2)) == []
