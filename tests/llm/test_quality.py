@@ -1,4 +1,5 @@
 import math
+import random
 
 from termloom.llm import quality as Q
 
@@ -40,3 +41,36 @@ def test_rows(spark):
     assert got[1].ended_lines == 1.0 and got[1].language == "en" and got[2].ended_lines == 0.0 and got[6]["words"] == 60_000
     assert sorted(r.doc_id for r in Q.not_prose(df).collect()) == [2, 6, 6]
     assert Q.not_prose(df.filter("false")).count() == 0
+
+
+def test_long_sentences_are_prose():
+    clause = "the seller must give the buyer a list of the goods that have not been delivered, and the buyer may ask for a lower price if any of them were damaged on the way"
+    for n in (1, 2, 4, 12):
+        assert Q.statistics("; and ".join([clause] * n).capitalize() + ".")["profile"] == "prose"
+
+
+def test_divergences_agree_with_one_by_one():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 5, (6, 7)).astype(float), rng.random((4, 7))
+    a[0] = 0
+    got = Q.divergences(a, b)
+    for i in range(1, 6):
+        for j in range(4):
+            p, q = a[i] / a[i].sum(), b[j] / b[j].sum()
+            want = sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)) / 2
+            assert abs(got[i, j] - want) < 1e-9
+
+
+def test_every_language_has_its_own_profile():
+    for g, text in Q.PROSE.items():
+        got = Q.statistics(text)
+        assert got["language"] == g and got["profile"] == "prose"
+    own = [Q.divergence(Q.WORD_PROFILES[i], Q.WORD_PROFILES[j]) for i in range(4) for j in range(i)]
+    assert min(own) > 0.005
+    for g, text in Q.ENTRIES.items():
+        assert Q.statistics(text)["profile"] == "list"
+    words = [w for w in Q.PROSE["en"].replace(".", " ").replace(",", " ").lower().split()]
+    random.Random(1).shuffle(words)
+    assert Q.statistics(" ".join(words))["profile"] != "prose"
