@@ -7,6 +7,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -214,7 +215,7 @@ def divergences(counts: np.ndarray, profiles: np.ndarray) -> np.ndarray:
     """Divergence of each row of ``counts`` from each row of ``profiles``."""
     p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-12)
     q = profiles / profiles.sum(axis=1, keepdims=True)
-    plogp = lambda x: (x * np.log2(x, out=np.zeros_like(x), where=x > 0)).sum(axis=-1)
+    plogp = lambda x: np.einsum("...i,...i->...", x, np.log2(np.maximum(x, 1e-300)))
     out = np.empty((len(p), len(q)))
     for k, row in enumerate(q):
         out[:, k] = -plogp((p + row) / 2)
@@ -348,7 +349,7 @@ def measure(texts: list[str]) -> list[dict]:
                 paragraphs += 1
             at = end + 1
         tokens = [_TOKEN.findall(b.lower()) for b in _bodies(lines)]
-        counts = Counter(t for line in tokens for t in line)
+        counts = Counter(chain.from_iterable(tokens))
         language = _language(counts)
         table = KINDS[language]
         all_words.append(_transitions([[table[t] for t in line] for line in tokens]))
@@ -360,14 +361,13 @@ def measure(texts: list[str]) -> list[dict]:
         again = every = 0
         for line in raw:
             for unit in _SENTENCE.split(line):
-                unit = unit.strip()
-                if unit:
-                    size = unit.count(" ") + 1
-                    every += size
-                    if unit in seen:
-                        again += size
+                size = unit.count(" ") + 1
+                every += size
+                if (unit := unit.strip()) in seen:
+                    again += size
+                elif unit:
                     seen.add(unit)
-        letters = sum(c for t, c in counts.items() if t[0].isalpha())
+        letters = sum([c for t, c in counts.items() if t[0].isalpha()])
         common = sum(counts[w] for w in table.common.keys() & counts.keys())
         total = chars.sum(axis=0)
         visible = max(1, int(total[:5].sum()))
@@ -378,20 +378,18 @@ def measure(texts: list[str]) -> list[dict]:
             "ended_lines": sum(full) / max(1, len(full)), "common_words": common / letters if letters else 0.0, "language": language if common else None, "_again": again / max(1, every),
         })
     words, chars = np.concatenate(all_words), np.concatenate(all_chars)
-    block = np.array(paragraph_of)
-    block_words, block_chars = np.zeros((paragraphs, 49)), np.zeros((paragraphs, 7))
-    np.add.at(block_words, block, words)
-    np.add.at(block_chars, block, chars)
+    block, who = np.array(paragraph_of), np.array(owner)
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    far = _distance(np.add.reduceat(words, first), np.add.reduceat(chars, first))
+    alone = np.bincount(block)[block] == 1
+    own = far[block]
+    own[~alone] = _distance(words[~alone], chars[~alone])
     allowed = np.stack([_ALLOWED[g] for g in language_of])
-    far = np.where(allowed, OWN * _distance(words, chars) + _distance(block_words, block_chars)[block] - MARGIN * _IS_PROSE, 9.0)
+    far = np.where(allowed, OWN * own + far[block] - MARGIN * _IS_PROSE, 9.0)
     size = np.maximum(words.sum(axis=1) - 1, 1) + chars[:, [1, 3, 4]].sum(axis=1) // 12
-    shares = np.zeros((len(docs), len(_FAMILIES)))
-    who = np.array(owner)
-    np.add.at(shares, (who, _FAMILY_OF[far.argmin(axis=1)]), size)
-    whole_words, whole_chars = np.zeros((len(docs), 49)), np.zeros((len(docs), 7))
-    np.add.at(whole_words, who, words)
-    np.add.at(whole_chars, who, chars)
-    whole = _distance(whole_words, whole_chars)
+    shares = np.bincount(who * len(_FAMILIES) + _FAMILY_OF[far.argmin(axis=1)], weights=size, minlength=len(docs) * len(_FAMILIES)).reshape(len(docs), -1)
+    first = np.flatnonzero(np.diff(who, prepend=-1))
+    whole = _distance(np.add.reduceat(words, first), np.add.reduceat(chars, first))
     for n, d in enumerate(docs):
         share = shares[n] / shares[n].sum()
         again = d.pop("_again")
