@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.functions.keys import iri_key, simple_heading
-from termloom.runtime import cut
+from termloom.runtime import cut, hot_keys, salted_join
 
 #: Where at most so many nodes are left unpeeled, one task finishes them; above that, rounds go on as shuffles.
 TAIL_NODES = 50_000
@@ -50,24 +50,33 @@ def _finish_tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if pending[up] == 0:
                     later.append(up)
         ready = later
-    peeled = set(order)
-    done: dict[str, tuple] = {k: ("cycle", None, None, None, None) for k in parent if k not in peeled}
-    out = [(k, size[k], *done[k]) for k in done]
     columns = ["key", "size", "status", "root", "depth", "path_keys", "path_labels"]
+    peeled = set(order)
+    above: dict[str, tuple] = {k: ("cycle", None, None) for k in parent if k not in peeled}  # status, root, depth
+    out = [(k, size[k], "cycle", None, None, None, None) for k in above]
+    held = len(out)
     for k in reversed(order):
         up = parent[k]
         if up is None:
-            got = ("root", k, 0, [], [])
+            got = ("root", k, 0)
         elif up not in parent:
-            got = ("orphan", None, None, None, None)
+            got = ("orphan", None, None)
         else:
-            s, root, depth, keys, labels = done[up]
-            got = ("root", root, depth + 1, [*keys, up], [*labels, label[up]]) if s == "root" else (s, None, None, None, None)
-        done[k] = got
-        out.append((k, size[k], *got))
-        if len(out) >= 5000:
+            s, root, depth = above[up]
+            got = ("root", root, depth + 1) if s == "root" else (s, None, None)
+        above[k] = got
+        keys: list[str] | None = None
+        if got[0] == "root":  # paths are written as they are met, never kept
+            keys = []
+            while up is not None:
+                keys.append(up)
+                up = parent[up]
+            keys.reverse()
+        out.append((k, size[k], *got, keys, None if keys is None else [label[x] for x in keys]))
+        held += 1 + len(keys or ())
+        if held >= 200_000:
             yield _frame(out, columns)
-            out = []
+            out, held = [], 0
     if out:
         yield _frame(out, columns)
 
@@ -94,10 +103,12 @@ def expand(nodes: DataFrame, tail_nodes: int = TAIL_NODES, with_keys: bool = Tru
     spark = nodes.sparkSession
     base = nodes.select("key", "label", "parent")
     known = base.select(F.col("key").alias("parent"), F.lit(True).alias("has_parent"))
-    children = base.filter("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("pending"))
-    live = base.join(children, "key", "left").join(known, "parent", "left").select(
-        "key", "label", "parent", F.coalesce("pending", F.lit(0)).cast("long").alias("pending"), F.lit(1).cast("long").alias("size"), F.coalesce("has_parent", F.lit(False)).alias("has_parent")
-    )
+    children = cut(base.filter("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("pending")))
+    hot = hot_keys(children, "key", "pending")
+    counted = base.join(children, "key", "left").select("key", "label", "parent", F.coalesce("pending", F.lit(0)).cast("long").alias("pending"), F.lit(1).cast("long").alias("size"))
+    # roots have no parent to look for; children of a parent with a large share of all nodes are spread
+    below = salted_join(counted.filter("parent is not null"), known, "parent", hot, F.col("key"), "left").withColumn("has_parent", F.coalesce("has_parent", F.lit(False)))
+    live = below.unionByName(counted.filter("parent is null").withColumn("has_parent", F.lit(False)))
     live = cut(live)
     levels: list[DataFrame] = []
     while True:
@@ -128,7 +139,7 @@ def expand(nodes: DataFrame, tail_nodes: int = TAIL_NODES, with_keys: bool = Tru
         for p in parts[1:]:
             above = above.unionByName(p)
         up = above.select(F.col("key").alias("parent"), F.col("status").alias("_st"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("path_keys").alias("_pk"), F.col("path_labels").alias("_pl"), F.col("label").alias("_l"))
-        got = level.filter("has_parent").join(up, "parent")
+        got = salted_join(level.filter("has_parent"), up, "parent", hot, F.col("key"))
         rooted = F.col("_st") == "root"
         below = got.select(
             "key", "label", "parent", F.col("_st").alias("status"), F.when(rooted, F.col("_r")).alias("root"), F.when(rooted, F.col("_d") + 1).alias("depth"),

@@ -35,14 +35,25 @@ down AS (SELECT key, label, 'root' AS status, key AS root, 0 AS depth, CAST([] A
 lost AS (SELECT key, label FROM nodes n WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.key = n.parent)
   UNION ALL SELECT n.key, n.label FROM lost d JOIN nodes n ON n.parent = d.key)"""
 
+# letter case, compatibility forms, kinds of dashes and white space don't count
+_FOLD = r"""lower(trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(x, '')), '[\p{Pd}\x{2212}\x{00AD}\x{2043}]', '-', 'g'), '[\s\p{Z}\p{Cf}]+', ' ', 'g')))"""
+
+# every node's way up, until it ends or comes to a node it has passed
+_UP = """up AS (SELECT n.key, n.parent AS anc, 1 AS d, [n.key] AS seen FROM nodes n JOIN nodes p ON p.key = n.parent WHERE n.parent <> n.key
+  UNION ALL SELECT u.key, n.parent, u.d + 1, list_append(u.seen, u.anc) FROM up u JOIN nodes n ON n.key = u.anc JOIN nodes p ON p.key = n.parent
+  WHERE n.parent <> u.anc AND NOT list_contains(u.seen, n.parent))"""
+
 SQL = {
-    "p1_hierarchy": f"""WITH RECURSIVE {_NODES},
-pairs AS (SELECT key AS anc, key FROM nodes WHERE key IN (SELECT key FROM down UNION ALL SELECT key FROM lost) UNION ALL SELECT p.anc, n.key FROM pairs p JOIN nodes n ON n.parent = p.key),
-sizes AS (SELECT anc AS key, count(*) AS subtree_size FROM pairs GROUP BY anc)
-SELECT x.*, s.subtree_size FROM (SELECT key, label, status, root, depth, array_to_string(ks, ' > ') AS key_path, array_to_string(ls, ' > ') AS label_path FROM down
+    "p1_found": rf"""WITH RECURSIVE {_NODES},
+rows_ AS (SELECT item_id, ancestor_path, nullif(regexp_extract(regexp_replace(regexp_replace(gold_iris[1], '[\s\p{{Z}}\p{{Cf}}\p{{Cc}}<>\[\](){{}}"'']', '', 'g'), '[/:]+$', ''), '([^/:]*)$', 1), '') AS key
+  FROM gold_rows WHERE item_id IS NOT NULL AND len(gold_iris) > 0 AND len(ancestor_path) > 0)
+SELECT 'orphan' AS kind, 'https://vocab.lexifold.example/' || key AS record_key FROM lost
+UNION ALL SELECT 'cycle', 'https://vocab.lexifold.example/' || key FROM nodes WHERE key NOT IN (SELECT key FROM down) AND key NOT IN (SELECT key FROM lost)
+UNION ALL SELECT DISTINCT 'path', item_id FROM rows_ JOIN down USING (key) WHERE list_transform(ancestor_path, lambda x: {_FOLD}) <> list_transform(ls, lambda x: {_FOLD})""",
+    "p1_hierarchy": f"""WITH RECURSIVE {_NODES}, {_UP}, sizes AS (SELECT anc AS key, count(*) AS below FROM up GROUP BY anc)
+SELECT x.*, coalesce(s.below, 0) + 1 AS subtree_size FROM (SELECT key, label, status, root, depth, array_to_string(ks, ' > ') AS key_path, array_to_string(ls, ' > ') AS label_path FROM down
 UNION ALL SELECT key, label, 'orphan', NULL, NULL, NULL, NULL FROM lost
 UNION ALL SELECT key, label, 'cycle', NULL, NULL, NULL, NULL FROM nodes WHERE key NOT IN (SELECT key FROM down) AND key NOT IN (SELECT key FROM lost)) x LEFT JOIN sizes s USING (key)""",
-    "p1_descendants": f"""WITH RECURSIVE {_NODES}, flat AS (SELECT key, depth, unnest(ks) AS ancestor, generate_subscripts(ks, 1) AS i FROM down)
-SELECT ancestor, key, CAST(depth - i + 1 AS INTEGER) AS distance FROM flat""",
+    "p1_descendants": f"WITH RECURSIVE {_NODES}, {_UP} SELECT anc AS ancestor, key, CAST(d AS INTEGER) AS distance FROM up",
 }
 QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants}
