@@ -17,8 +17,10 @@ from termloom.runtime import cut, spread
 
 #: Dimensions of the projection and bits of each coordinate on the curve.
 DIMENSIONS, BITS = 3, 10
-#: Neighbours along the curve that are packed together, and containers that may stay open beyond that.
-BLOCK, OPEN = 4_096, 2_048
+#: Neighbours along the curve that are packed together, and how many blocks a container may stay open: what lies in one container was at most so far apart.
+BLOCK, OPEN_BLOCKS = 256, 64
+#: A task packs at least so many containers of the largest capacity, so that its last, half-empty ones weigh little.
+TASK_CONTAINERS = 256
 
 
 class PieceVectors(PieceIds):
@@ -102,49 +104,50 @@ def sizes(docs: DataFrame, path: str = DEFAULT_PATH, key: str = "doc_id", text:
 
 
 class Packer:
-    """Best fit into the open containers of one capacity; items of a block come largest first."""
+    """Best fit into the open containers of one capacity, block after block along the curve; items of a block come largest first."""
 
     def __init__(self, name: str, capacity: int, first: int):
-        self.name, self.capacity, self.next = name, capacity, first
-        self.open: list[tuple[int, int]] = []  # (space left, container), ascending
-        self.last = None
+        self.name, self.capacity, self.next, self.blocks = name, capacity, first, 0
+        self.open: list[tuple[int, int, int]] = []  # (space left, container, block that opened it), ascending
 
     def _new(self) -> int:
         self.next += 1
         return self.next - 1
 
     def block(self, items: list[tuple]) -> Iterator[tuple]:
-        """items: (key, tokens). Yields (name, container, key, piece, first_token, tokens)."""
+        """items: (key, tokens, place). Yields (name, container, key, piece, first_token, tokens, place)."""
         rest, cap = [], self.capacity
-        for key, tokens in items:
+        for key, tokens, place in items:
             full = tokens // cap if tokens > cap else 0
             for k in range(full):
-                yield self.name, self._new(), key, k, k * cap, cap
+                yield self.name, self._new(), key, k, k * cap, cap, place
             if tokens > full * cap or not full:
-                rest.append((tokens - full * cap, full, key))
+                rest.append((tokens - full * cap, full, key, place))
         rest.sort(key=lambda r: -r[0])
-        for size, piece, key in rest:
-            i = bisect_left(self.open, (size, -1))
+        for size, piece, key, place in rest:
+            i = bisect_left(self.open, (size, -1, -1))
             if i < len(self.open):
-                left, container = self.open.pop(i)
+                left, container, since = self.open.pop(i)
             else:
-                left, container = cap, self._new()
+                left, container, since = cap, self._new(), self.blocks
             if left > size or size == 0:
-                insort(self.open, (left - size, container))
-            yield self.name, container, key, piece, piece * cap, size
-        if len(self.open) > OPEN:
-            self.open = self.open[-OPEN:]  # the fullest are closed
+                insort(self.open, (left - size, container, since))
+            yield self.name, container, key, piece, piece * cap, size, place
+        self.blocks += 1
+        self.open = [o for o in self.open if o[2] > self.blocks - OPEN_BLOCKS]  # what lies far back on the curve is closed
 
 
 def pack(sized: DataFrame, capacities: list[tuple[str, int]], key: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """container_name, container_id, key, piece, first_token, tokens: where each document goes, for each capacity.
+    """container_name, container_id, key, piece, first_token, tokens, place: where each document goes, for each capacity, and its place on the curve.
 
-    Documents are range-sorted by their place on the curve, and each task packs its stretch of it, in blocks of neighbours, by best fit.
-    A document is split only where it is larger than the capacity: into full containers and one rest. Documents without tokens take
-    no space and lie in some container. A container holds documents of one task only, so at most the last containers of each task stay
-    half empty."""
+    Documents are range-sorted by their place on the curve, and each task packs its stretch of it: block after block of neighbours, by best fit into containers that one of
+    the last blocks has opened. A document is split only where it is larger than the capacity: into full containers and one rest. Documents without tokens take
+    no space and lie in some container. A container holds documents of one task only; there are as many tasks as leave each enough to fill."""
     kind = sized.schema[key].dataType.simpleString()
-    ordered = sized.repartitionByRange("place", key).sortWithinPartitions("place", key)
+    total = sized.agg(F.sum("tokens")).first()[0] or 0
+    most = max((c for _, c in capacities), default=1)
+    parts = max(1, min(sized.sparkSession.sparkContext.defaultParallelism * 4 + total // (4_096 * most), total // (TASK_CONTAINERS * most)))
+    ordered = sized.repartitionByRange(int(parts), "place", key).sortWithinPartitions("place", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -152,25 +155,23 @@ def pack(sized: DataFrame, capacities: list[tuple[str, int]], key: str = "doc_id
         packers = [Packer(n, c, first) for n, c in capacities]
 
         def flush(items: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for p in packers:
-                rows = list(p.block(items))
-                if rows:
-                    cols = list(zip(*rows))
-                    kinds = (pa.string(), pa.int64(), key_type, pa.int32(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["container_name", "container_id", key, "piece", "first_token", "tokens"])
+            rows = [r for p in packers for r in p.block(items)]
+            if rows:
+                kinds = (pa.string(), pa.int64(), key_type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["container_name", "container_id", key, "piece", "first_token", "tokens", "place"])
 
         held: list[tuple] = []
         key_type = None
         for b in batches:
             key_type = b.column(0).type
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            held += zip(*(c.to_pylist() for c in b.columns))
             while len(held) >= block:
                 yield from flush(held[:block])
                 held = held[block:]
         if held:
             yield from flush(held)
 
-    return ordered.select(key, "tokens").mapInArrow(run, f"container_name string, container_id long, {key} {kind}, piece int, first_token long, tokens long")
+    return ordered.select(key, "tokens", "place").mapInArrow(run, f"container_name string, container_id long, {key} {kind}, piece int, first_token long, tokens long, place long")
 
 
 def capacities_of(containers: DataFrame) -> list[tuple[str, int]]:
@@ -188,9 +189,15 @@ def fill_containers(docs: DataFrame, containers: DataFrame, path: str = DEFAULT_
 
 
 def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
-    """container_name, containers, documents, tokens, unused_share, and least: the containers that any packing needs."""
-    per = packed.groupBy("container_name", "container_id").agg(F.sum("tokens").alias("t"), F.count_if(F.col("piece") == 0).alias("d"))
-    total = per.groupBy("container_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("d").alias("documents"), F.sum("t").alias("tokens"))
+    """container_name, containers, documents, tokens, unused_share, least (the containers that any packing needs), and curve_spread: how far apart on the curve the
+    documents of a container lie, as the root of the mean variance of their places within containers over that of all; 1 for a random order, 0 for equal places."""
+    per = packed.groupBy("container_name", "container_id").agg(F.sum("tokens").alias("t"), F.count_if(F.col("piece") == 0).alias("d"), F.var_pop("place").alias("v"), F.count(F.lit(1)).alias("n"))
+    within = F.sum(F.when(F.col("n") > 1, F.col("v") * F.col("n"))) / F.sum(F.when(F.col("n") > 1, F.col("n")))
+    total = per.groupBy("container_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("d").alias("documents"), F.sum("t").alias("tokens"), within.alias("within"))
+    whole = packed.groupBy("container_name").agg(F.var_pop("place").alias("whole"))
     cap = containers.groupBy("container_name").agg(F.max("capacity_tokens").alias("cap"))
-    out = total.join(cap, "container_name")
-    return out.select("container_name", "containers", "documents", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("cap"))).alias("unused_share"), F.ceil(F.col("tokens") / F.col("cap")).alias("least"))
+    out = total.join(cap, "container_name").join(whole, "container_name")
+    return out.select(
+        "container_name", "containers", "documents", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("cap"))).alias("unused_share"), F.ceil(F.col("tokens") / F.col("cap")).alias("least"),
+        F.sqrt(F.try_divide(F.col("within"), F.col("whole"))).alias("curve_spread"),
+    )

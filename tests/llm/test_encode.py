@@ -62,8 +62,21 @@ def test_best_fit_and_curve():
     import numpy as np
 
     p = Packer("n", 10, 0)
-    used = {c for _, c, *_ in p.block([(i, t) for i, t in enumerate([6, 4, 7, 3, 5, 5, 10, 23])])}
+    used = {c for _, c, *_ in p.block([(i, t, 0) for i, t in enumerate([6, 4, 7, 3, 5, 5, 10, 23])])}
     assert len(used) == 4 + 2 + 1
     g = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     h = hilbert(g, 3)
     assert sorted(h) == list(range(512)) and set(np.abs(np.diff(g[np.argsort(h)], axis=0)).sum(axis=1)) == {1}
+
+
+def test_containers_hold_neighbours_on_the_curve(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(20, 60), rng.randrange(1 << 30)) for i in range(8000)]
+    sized = spark.createDataFrame(rows, "doc_id long, tokens long, place long")
+    caps = spark.createDataFrame([("c", 400)], "container_name string, capacity_tokens int")
+    r = fill_report(pack(sized, [("c", 400)]), caps).first()
+    assert r.documents == 8000 and r.tokens == sum(t for _, t, _ in rows) and r.unused_share < 0.03 and r.curve_spread < 0.1
+    mixed = sized.withColumn("place", F.col("place") * 0 + 7)
+    assert fill_report(pack(mixed, [("c", 400)]), caps).first().curve_spread is None
