@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.llm.words import LINKING, fold, singular, slips
-from termloom.runtime import cut
+from termloom.runtime import cut, hot_keys, salted_join
 
 #: Texts that name nothing, after normalisation.
 NAMELESS = frozenset("other|others|n a|na|none|null|nil|nan|tbd|tba|tbc|unknown|misc|miscellaneous|various|general|unspecified|not applicable|not available|to be determined|to be confirmed|see note|see notes|blank|empty|x|xx|xxx|untitled|no name".split("|"))
@@ -152,7 +152,8 @@ def near_classes(people: DataFrame) -> DataFrame:
 
     rows = classes.select("id", "words", "t", "e").mapInArrow(run, "sig long, id long, t boolean, e boolean, a string, b string")
     by_sig = rows.repartition("sig")
-    load = by_sig.groupBy("sig").agg(F.count_if("t").alias("nt"), F.count_if("e").alias("ne"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    # the counts of a and b keep their columns, so that the aggregate and the join below read one and the same shuffle
+    load = by_sig.groupBy("sig").agg(F.count_if("t").alias("nt"), F.count_if("e").alias("ne"), F.min("id").alias("lo"), F.max("id").alias("hi"), (F.count("a") + F.count("b")).alias("_ab")).filter("_ab > 0")
     load = load.filter("nt > 0 and ne > 0 and lo <> hi").select("sig", (F.col("nt") * F.col("ne") > BUCKET_PAIRS).alias("hot"))
     held = cut(by_sig.join(load, "sig").select("sig", "id", "t", "e", "a", "b", "hot"))
     cool = held.filter("not hot").select("sig", F.lit(0).cast("long").alias("spelling"), "id", "t", "e")
@@ -177,7 +178,8 @@ def found_pairs(gold: DataFrame) -> DataFrame:
     item in both is the pair of itself. Blank rows are left out."""
     people = cut(members(_scored(gold), "item_id", "leaf", "slice", TRAIN, EVALUATION))
     train, evaluation = people.filter("train").select("id", F.col("key").alias("x")).distinct(), people.filter("not train").select("id", F.col("key").alias("y")).distinct()
-    same = train.join(evaluation, "id").select("x", "y")
+    sizes = train.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    same = salted_join(train, evaluation, "id", hot_keys(sizes, "id", "n"), F.col("x")).select("x", "y")
     near = near_classes(people)
     almost = near.join(train.withColumnRenamed("id", "tid"), "tid").join(evaluation.withColumnRenamed("id", "eid"), "eid").select("x", "y")
     itself = people.groupBy("key").agg(F.bool_or("train").alias("t"), F.bool_or(~F.col("train")).alias("e")).filter("t and e").select(F.col("key").alias("x"), F.col("key").alias("y"))
