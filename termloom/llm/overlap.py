@@ -46,8 +46,8 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def signatures(words: list[str]) -> Iterator[tuple[int, str, str]]:
-    """(hash of what is left, first and second word left out). Two texts with at most two slips agree in one of them: one
+def signatures(words: list[str]) -> Iterator[tuple[int, int]]:
+    """(hash of what is left, code of what is left out, as left_out reads it). Two texts with at most two slips agree in one of them: one
     word left out (both slips in it), two words (one slip in each), or two neighbours against one word (a blank more or less). Numbers stay. In long
     texts the words fall into five buckets by hash: at most four of them can differ between two texts that are nearly the same."""
     ordered = sorted(words)
@@ -56,22 +56,30 @@ def signatures(words: list[str]) -> Iterator[tuple[int, str, str]]:
         for w in ordered:
             parts[_hash(w) % BUCKETS].append(w)
         for i, part in enumerate(parts):
-            yield _hash("b", str(i), *part), "", ""
+            yield _hash("b", str(i), *part), 0
         if len(words) > MANY_WORDS:
             return
     free = [i for i, w in enumerate(ordered) if not w.isdigit()]
     rest = lambda out: [w for i, w in enumerate(ordered) if i not in out]
-    yield _hash("1", *ordered), "", ""
-    for i in dict.fromkeys(free):
-        yield _hash("1", *rest((i,))), ordered[i], ""
+    yield _hash("1", *ordered), 0
+    for i in free:
+        yield _hash("1", *rest((i,))), i + 1
     for i, j in combinations(free, 2):
-        yield _hash("2", *rest((i, j))), ordered[i], ordered[j]
-    for a, b in zip(words, words[1:]):
+        yield _hash("2", *rest((i, j))), (i + 1) * 64 + j + 1
+    for k, (a, b) in enumerate(zip(words, words[1:])):
         if not a.isdigit() and not b.isdigit():
             left = list(ordered)
             left.remove(a)
             left.remove(b)
-            yield _hash("1", *left), a + b, "\x1f"
+            yield _hash("1", *left), -(k + 1)
+
+
+def left_out(words: list[str], code: int) -> list[str]:
+    """The words that a signature leaves out: none, one or two of the sorted words, or two neighbours as one word."""
+    if code < 0:
+        return ["".join(words[-code - 1 : -code + 1])]
+    ordered = sorted(words)
+    return [ordered[i - 1] for i in divmod(code, 64) if i]
 
 
 def _shorter(word: str, times: int) -> set[str]:
@@ -85,14 +93,15 @@ def _shorter(word: str, times: int) -> set[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _spelling_keys(first: pd.Series, second: pd.Series) -> pd.Series:
+def _spelling_keys(words: pd.Series, code: pd.Series) -> pd.Series:
     """Keys that any two spellings within the slips share: the words left out with up to two letters less, or one less in each of two."""
     out = []
-    for a, b in zip(first, second):
-        if b in ("", "\x1f"):
-            out.append([_hash("s", w) for w in _shorter(a, SLIPS)])
+    for text, c in zip(words, code):
+        left = left_out(text.split(" "), c) or [""]
+        if len(left) == 1:
+            out.append([_hash("s", w) for w in _shorter(left[0], SLIPS)])
         else:
-            out.append(list({_hash("d", *sorted((x, y))) for x in _shorter(a, 1) for y in _shorter(b, 1)}))
+            out.append(list({_hash("d", *sorted((x, y))) for x in _shorter(left[0], 1) for y in _shorter(left[1], 1)}))
     return pd.Series(out)
 
 
@@ -142,22 +151,22 @@ def near_classes(people: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for ident, words, t, e in zip(*(c.to_pylist() for c in b.columns)):
-                for sig, first, second in signatures(words.split(" ")):
-                    for c, v in zip(cols, (sig, ident, t, e, first, second)):
+                for sig, code in signatures(words.split(" ")):
+                    for c, v in zip(cols, (sig, ident, t, e, code)):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "id", "t", "e", "a", "b"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int16())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "id", "t", "e", "code"])
 
-    rows = classes.select("id", "words", "t", "e").mapInArrow(run, "sig long, id long, t boolean, e boolean, a string, b string")
+    rows = classes.select("id", "words", "t", "e").mapInArrow(run, "sig long, id long, t boolean, e boolean, code short")
     by_sig = rows.repartition("sig")
-    # the counts of a and b keep their columns, so that the aggregate and the join below read one and the same shuffle
-    load = by_sig.groupBy("sig").agg(F.count_if("t").alias("nt"), F.count_if("e").alias("ne"), F.min("id").alias("lo"), F.max("id").alias("hi"), (F.count("a") + F.count("b")).alias("_ab")).filter("_ab > 0")
+    # the count of codes keeps their column, so that the aggregate and the join below read one and the same shuffle
+    load = by_sig.groupBy("sig").agg(F.count_if("t").alias("nt"), F.count_if("e").alias("ne"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("code").alias("_n")).filter("_n > 0")
     load = load.filter("nt > 0 and ne > 0 and lo <> hi").select("sig", (F.col("nt") * F.col("ne") > BUCKET_PAIRS).alias("hot"))
-    held = cut(by_sig.join(load, "sig").select("sig", "id", "t", "e", "a", "b", "hot"))
+    held = cut(by_sig.join(load, "sig").select("sig", "id", "t", "e", "code", "hot"))
     cool = held.filter("not hot").select("sig", F.lit(0).cast("long").alias("spelling"), "id", "t", "e")
-    hot = held.filter("hot").select("sig", F.explode(_spelling_keys("a", "b")).alias("spelling"), "id", "t", "e")
+    hot = held.filter("hot").join(classes.select("id", "words"), "id").select("sig", F.explode(_spelling_keys("words", "code")).alias("spelling"), "id", "t", "e")
     every = cool.unionByName(hot)
     left = every.filter("t").select("sig", "spelling", F.col("id").alias("tid"))
     right = every.filter("e").select("sig", "spelling", F.col("id").alias("eid"))
