@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +34,11 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
 
 
-@F.udf(T.StructType([T.StructField("anchor", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("low", T.StringType())]))
-def _anchor(pattern):
-    low = _lower(pattern)
-    m = _RUN.search(low)
-    return (m.group(), m.start(), low) if m else None
+@F.pandas_udf(T.StructType([T.StructField("anchor", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("low", T.StringType())]))
+def _anchor(pattern: pd.Series) -> pd.DataFrame:
+    low = pattern.map(_lower)
+    found = low.map(_RUN.search)
+    return pd.DataFrame({"anchor": found.map(lambda m: m.group() if m else None), "offset": found.map(lambda m: m.start() if m else 0), "low": low})
 
 
 def scan(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,7 +50,7 @@ def scan(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str =
     whole token of the text. Tokens that are anchors, each with the stretch of text around it, are joined with the patterns by
     anchor and compared there."""
     extra = [c for c in patterns.columns if c != "pattern"]
-    pats = patterns.filter("pattern is not null").withColumn("_a", _anchor("pattern")).filter("_a is not null").select("pattern", *extra, F.col("_a.anchor").alias("_anchor"), F.col("_a.offset").alias("_off"), F.col("_a.low").alias("_low"))
+    pats = patterns.filter("pattern is not null").withColumn("_a", _anchor("pattern")).filter("_a.anchor is not null").select("pattern", *extra, F.col("_a.anchor").alias("_anchor"), F.col("_a.offset").alias("_off"), F.col("_a.low").alias("_low"))
     n, most, before = pats.agg(F.count_distinct("_anchor"), F.max(F.length("_low")), F.max("_off")).first()
     anchors = frozenset(r[0] for r in pats.select("_anchor").distinct().collect()) if n <= SHIPPED_ANCHORS else None
     most, before = most or 0, before or 0
@@ -89,44 +89,30 @@ def scan(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str =
     return hits.filter((start >= 0) & same & left & edge(rel + size)).select(key, start.alias("start"), (start + size).alias("end"), "pattern", *extra)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _kept(spans: pd.Series) -> pd.Series:
-    return spans.map(lambda s: resolve_overlaps([(x["start"], x["end"]) for x in s]))
-
-
-def resolve_overlaps(spans: list[tuple[int, int]]) -> list[int]:
-    """Indices of the spans that remain, in order: by start, the longer first, a span equal to a kept one goes; of two that overlap in part the longer
-    takes the place of the other (first such one); a span inside another stays. Greedy: spans left in the result may still overlap in part."""
-    order = sorted(range(len(spans)), key=lambda i: (spans[i][0], spans[i][0] - spans[i][1], i))
-    kept: list[int] = []
-    active: list[int] = []  # places in kept that may still touch what comes
-    for i in order:
-        s, e = spans[i]
-        active = [p for p in active if spans[kept[p]][1] > s]
-        clash = None
-        for p in active:
-            a, b = spans[kept[p]]
-            if (a, b) == (s, e):
-                clash = ("same", p)
-                break
-            if not (a <= s and e <= b) and not (s <= a and b <= e):
-                clash = ("part", p)
-                break
-        if clash is None:
-            kept.append(i)
-            active.append(len(kept) - 1)
-        elif clash[0] == "part" and e - s > spans[kept[clash[1]]][1] - spans[kept[clash[1]]][0]:
-            kept[clash[1]] = i
-    return kept
+def _fold(kept: Column, x: Column) -> Column:
+    """One step of the overlap rule: the kept spans after x."""
+    clash = F.array_position(F.transform(kept, lambda k: (k["end"] > x["start"]) & (((k["start"] == x["start"]) & (k["end"] == x["end"])) | ((k["start"] < x["start"]) & (k["end"] < x["end"])))), F.lit(True)).cast("int")
+    other = F.get(kept, clash - 1)
+    longer = (x["end"] - x["start"]) > (other["end"] - other["start"])
+    return F.when(clash == 0, F.concat(kept, F.array(x))).when(longer, F.concat(F.slice(kept, F.lit(1), clash - 1), F.array(x), F.slice(kept, clash + 1, F.size(kept)))).otherwise(kept)
 
 
 def without_overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The spans of each document that resolve_overlaps leaves. A document's spans are held together; its text isn't."""
+    """The spans of each document that the overlap rule leaves. Spans are taken by start, the longer first (then by their other columns). A span equal to one that is
+    kept goes; one that overlaps a kept span in part, the first such, takes its place if it is longer and goes otherwise; one inside another stays. The rule is
+    greedy: what takes a place isn't compared with the others again.
+
+    Only spans that touch each other, directly or through others, can decide about one another, so a window cuts each document into such islands and each island is
+    folded alone, in the engine: no array holds the spans of a whole document. Spans that stand alone skip the fold."""
     rest = [c for c in spans.columns if c not in (key, "start", "end")]
-    one = F.struct("start", "end", *rest)
-    grouped = spans.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_s"))
-    keep = grouped.withColumn("_k", _kept(F.transform("_s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-    return keep.select(key, F.explode(F.transform("_k", lambda i: F.get(F.col("_s"), i))).alias("s")).select(key, "s.*")
+    order = Window.partitionBy(key).orderBy("start", F.col("end").desc())
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = F.when(F.col("start") < reach, 0).otherwise(1)
+    islands = spans.withColumn("_b", begun).withColumn("_island", F.sum("_b").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+    grouped = islands.groupBy(key, "_island").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("_o"), "end", *rest))).alias("_s"))
+    none = F.filter("_s", lambda x: F.lit(False))
+    kept = F.when(F.size("_s") == 1, F.col("_s")).otherwise(F.aggregate("_s", none, _fold))
+    return grouped.select(key, F.explode(kept).alias("_x")).select(key, "_x.start", "_x.end", *[f"_x.{c}" for c in rest])
 
 
 def ruler_patterns(labels: DataFrame) -> DataFrame:

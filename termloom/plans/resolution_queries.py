@@ -206,6 +206,7 @@ spot AS (SELECT doc_id, label_key, iri, kind, ps[k] AS pre_part, ps[k + 1] AS po
 spans AS (SELECT doc_id, start, CAST(start + length(label_key) AS INTEGER) AS "end", label_key, iri, kind FROM spot
   WHERE NOT regexp_matches(CASE WHEN pre_part = '' AND k > 1 THEN right(label_key, 1) ELSE right(pre_part, 1) END, '[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(left(post_part, 1), '[\\p{{L}}\\p{{N}}_]'))"""
 
+_RULER_STOP = ", ".join(f"'{w}'" for w in scan.RULER_STOPWORDS)
 _PLACE_BRANCH = " OR ".join(f"contains(lower(branch), '{b}')" for b in gates.PLACE_BRANCHES)
 _PLACE_NAMES = "[" + ", ".join(f"'{n}'" for n in gates.PLACE_NAMES) + "]"
 
@@ -272,6 +273,15 @@ h AS (SELECT DISTINCT term, iri FROM t JOIN n ON starts_with(name, lower(trim(te
     ) + r" WHEN length(text) > 0 AND length(text) < 200 AND regexp_matches(text, '\b(?:97[89][- ]?)?(?:\d[- ]?){9}[\dxX]\b') THEN 'metadata' ELSE 'body' END AS kind FROM documents) SELECT doc_id, kind, kind = 'body' AS taggable FROM k",
     "alias_blocklist": "SELECT r.iri, count(*) AS kept FROM ranked_candidates r WHERE r.iri IS NOT NULL AND NOT EXISTS (SELECT 1 FROM concepts c WHERE c.branch = 'Forum' AND lower(c.label) = lower(r.label) AND c.iri = r.iri) GROUP BY r.iri",
     "dictionary_scan": f'WITH {_SPANS} SELECT doc_id, start, "end", iri, kind FROM spans',
+    "entity_ruler": f"""WITH RECURSIVE {_SPANS},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC) AS n FROM spans WHERE length(label_key) >= 3 AND label_key NOT IN ({_RULER_STOP})),
+fold AS (SELECT DISTINCT doc_id, 0 AS n, CAST([] AS STRUCT(s INTEGER, e INTEGER, k VARCHAR, iri VARCHAR, kind VARCHAR)[]) AS kept FROM r
+  UNION ALL SELECT doc_id, n, CASE WHEN c IS NULL THEN list_append(kept, x) WHEN x.e - x.s > kept[c].e - kept[c].s THEN list_concat(kept[1:c - 1], [x], kept[c + 1:]) ELSE kept END FROM (
+    SELECT f.doc_id, r.n, f.kept, {{'s': r.start, 'e': r."end", 'k': r.label_key, 'iri': r.iri, 'kind': r.kind}} AS x,
+      list_filter(range(1, len(f.kept) + 1), lambda i: f.kept[i].e > r.start AND f.kept[i].s < r."end" AND ((f.kept[i].s = r.start AND f.kept[i].e = r."end") OR NOT ((f.kept[i].s <= r.start AND r."end" <= f.kept[i].e) OR (r.start <= f.kept[i].s AND f.kept[i].e <= r."end"))))[1] AS c
+    FROM fold f JOIN r ON r.doc_id = f.doc_id AND r.n = f.n + 1)),
+fin AS (SELECT doc_id, unnest(arg_max(kept, n)) AS k FROM fold GROUP BY doc_id)
+SELECT doc_id, k.s AS start, k.e AS "end", k.iri AS iri, k.kind AS kind, CASE WHEN k.kind IN ('preferred', 'lemma_preferred') THEN 0.72 ELSE 0.55 END AS confidence FROM fin""",
     "leak_scan_ngrams": r"""WITH s AS (SELECT DISTINCT array_to_string(t, ' ') AS g FROM (SELECT list_filter(string_split_regex(regexp_replace(lower(label), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda w: w <> '') AS t FROM concepts) WHERE len(t) >= 2),
 n AS (SELECT DISTINCT len(string_split(g, ' ')) AS k FROM s), d AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda w: w <> '') AS t FROM documents WHERE text IS NOT NULL),
 gr AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM d, n))

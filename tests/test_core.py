@@ -87,25 +87,32 @@ def test_scan_against_brute_force(spark):
     assert got == sorted(want)
 
 
-def test_overlap_rules():
-    assert scan.resolve_overlaps([(0, 5), (3, 10), (0, 5), (4, 6), (20, 22)]) == [1, 3, 4]
+def plain_overlaps(spans):
+    """The overlap rule, each span against all kept ones."""
+    kept = []
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
+        for at, (a, b) in enumerate(kept):
+            if (a, b) == (s, e):
+                break
+            if a < e and s < b and not (a <= s and e <= b) and not (s <= a and b <= e):
+                if e - s > b - a:
+                    kept[at] = (s, e)
+                break
+        else:
+            kept.append((s, e))
+    return sorted(kept)
+
+
+def test_overlap_rules(spark):
     rng = random.Random(7)
-    for _ in range(500):
-        spans = [(s := rng.randrange(30), s + rng.randrange(1, 12)) for _ in range(rng.randrange(12))]
-        kept: list[int] = []
-        for i in sorted(range(len(spans)), key=lambda i: (spans[i][0], spans[i][0] - spans[i][1], i)):
-            s, e = spans[i]
-            for at, j in enumerate(kept):
-                a, b = spans[j]
-                if (a, b) == (s, e):
-                    break
-                if a < e and s < b and not (a <= s and e <= b) and not (s <= a and b <= e):
-                    if e - s > b - a:
-                        kept[at] = i
-                    break
-            else:
-                kept.append(i)
-        assert scan.resolve_overlaps(spans) == kept
+    cases = {n: [(s := rng.randrange(30), s + rng.randrange(1, 12)) for _ in range(rng.randrange(1, 12))] for n in range(10_000)}
+    cases[-1] = [(0, 5), (3, 10), (0, 5), (4, 6), (20, 22)]
+    df = spark.createDataFrame([(n, s, e, "t") for n, v in cases.items() for s, e in v], "doc_id long, start int, end int, tag string")
+    got = {}
+    for r in scan.without_overlaps(df).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {n: sorted(v) for n, v in got.items()} == {n: plain_overlaps(v) for n, v in cases.items()}
+    assert plain_overlaps(cases[-1]) == [(3, 10), (4, 6), (20, 22)] and scan.without_overlaps(df.filter("false")).count() == 0
 
 
 def test_search_loses_no_pair(spark, concepts):
