@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.scoring import relevance, with_words
 from termloom.functions.text import content_words, strip
+from termloom.operators.relevance import best_concepts
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -64,13 +65,13 @@ def top_k(scored: DataFrame, by: str, k: int, order: list[Column] | None = None)
 
 def label_search(terms: DataFrame, concepts: DataFrame, k: int = 20) -> DataFrame:
     """The k best concepts of each term: score descending, then iri."""
-    return top_k(scored_pairs(terms, concepts), "term", k)
+    return best_concepts(terms, concepts, k)
 
 
 def definition_search(terms: DataFrame, concepts: DataFrame, k: int = 20) -> DataFrame:
     """As label_search, over definitions scored as if they were labels."""
     as_labels = concepts.filter("definition is not null").select("iri", F.col("definition").alias("label"), F.lit(None).cast("string").alias("definition"), F.array().cast("array<string>").alias("alternative_labels"), F.lit(None).cast("string").alias("preferred_label"), "branch")
-    return top_k(scored_pairs(terms, as_labels), "term", k)
+    return best_concepts(terms, as_labels, k)
 
 
 def prefix_search(terms: DataFrame, concepts: DataFrame, k: int = 50) -> DataFrame:

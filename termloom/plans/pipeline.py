@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.gates import enforce_verdict, is_taggable, place_gate, short_gate
-from termloom.functions.scoring import relevance, rounded, with_words
+from termloom.functions.scoring import rounded
 from termloom.functions.text import EXPANSIONS, content_words, decompose, search_terms, strip, strip_fences, tokenize, words_lit
 from termloom.operators.catalog import ConceptCatalog
+from termloom.operators.relevance import score_lists
 from termloom.operators.scan import entity_ruler
 from termloom.operators.search import definition_search, label_search, prefix_search
 
@@ -44,10 +45,8 @@ def recall(terms: DataFrame, catalog: ConceptCatalog, threshold: float = 30.0, t
     table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), words_lit(v.split()))])
     expanded = F.flatten(F.transform("content", lambda w: F.transform(F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>")), lambda s: F.concat(w, F.lit(" "), s))))
     queries = t.select("term", "content", F.col("term").alias("q")).unionByName(t.select("term", F.explode(expanded).alias("q")).select("term", content_words(F.col("q")).alias("content"), "q"))
-    ready, words = with_words(c)
-    pairs = raw.join(queries, "term").join(ready, "iri")
-    score = relevance(F.col("q"), F.col("label"), F.col("definition"), F.col("alternative_labels"), F.col("preferred_label"), content=F.col("content"), words=words)
-    direct = pairs.select("term", "iri", score.alias("score")).groupBy("term", "iri").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
+    asked = queries.groupBy("term").agg(F.collect_set(F.struct("q", "content")).alias("queries")).join(raw.groupBy("term").agg(F.collect_set("iri").alias("iris")), "term")
+    direct = score_lists(asked, c).filter(F.col("score") >= threshold)
     out = direct
     known = c.select(F.col("iri").alias("parent"))
     edges = catalog.edges.join(known, "parent", "left_semi")

@@ -123,6 +123,25 @@ def test_search_loses_no_pair(spark, concepts):
     assert [(r.term, r.iri) for r in search.prefix_search(spark.createDataFrame([("pro",), ("WARR",)], "term string"), concepts).orderBy("term", "place").collect()] == [("WARR", "c3"), ("pro", "c1"), ("pro", "c2")]
 
 
+def test_block_scores_are_those_of_the_expression(spark, concepts):
+    from termloom.operators import relevance
+
+    rng = random.Random(6)
+    words = "breach warranty claim claims law auction sale mediate arbitration practice proposed fact findings tax lawful warranties draft rule ruling be a of".split()
+    more = [(f"x{n:03d}", " ".join(rng.choices(words, k=rng.randrange(0, 5))), rng.choice([None, "", " ".join(rng.choices(words, k=9)) + "."]), [" ".join(rng.choices(words, k=3)), None][: rng.randrange(0, 3)], rng.choice([None, " ".join(rng.choices(words, k=2))]), "B", []) for n in range(150)]
+    every = concepts.unionByName(spark.createDataFrame(more, SCHEMA))
+    asked = ["Warranty", "law", "a", "sale by", "breach of warranty claims", "findings of fact and x", "medi", "ADR", "Slovenia", "rule", "zzz", " Auction ", *(" ".join(rng.choices(words, k=rng.randrange(1, 5))) for _ in range(40))]
+    terms = spark.createDataFrame([(t,) for t in [*asked, "", None, "\u00a0"]], "term string")
+    want = terms.filter("trim(term) <> ''").distinct().crossJoin(every).select("term", "iri", scoring.relevance(F.col("term"), F.col("label"), F.col("definition"), F.col("alternative_labels"), F.col("preferred_label")).alias("s")).filter("s > 0")
+    ranked = {}
+    for r in want.collect():
+        ranked.setdefault(r.term, []).append((-r.s, r.iri))
+    want = {(t, place): (iri, -s) for t, v in ranked.items() if t.strip() for place, (s, iri) in enumerate(sorted(v)[:7], 1)}
+    for most in (1000, 60):
+        got = {(r.term, r.place): (r.iri, r.score) for r in relevance.best_concepts(terms, every, 7, most=most).collect()}
+        assert got == want
+
+
 def test_pipeline(spark, concepts):
     q = spark.createDataFrame([("q1", "Proposed Findings of Fact and Conclusions of Law", ""), ("q2", "Action", ""), ("q3", "breach of warranty", "Title Page"), ("q4", "Mediation", None)], "query_id string, term string, section string")
     block = spark.createDataFrame([("mediation", "c7", None)], "surface_term string, blocked_iri string, domain string")
