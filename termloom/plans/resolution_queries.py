@@ -164,7 +164,7 @@ def normal_forms(spark, d):
 # -- SQL --------------------------------------------------------------------------------------------------------------------
 
 _TOK = "list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[a-zA-Z]+'), lambda w: lower(w)), lambda w: length(w) >= 2)"
-_TERMS = r"terms AS (SELECT DISTINCT term FROM (SELECT regexp_extract(label, '(\S+) \S+$', 1) AS term FROM concepts UNION ALL SELECT regexp_extract(label, '(\S+)$', 1) || ' and Claims' FROM concepts) WHERE term <> '')"
+_TERMS = r"terms AS (SELECT DISTINCT label AS term FROM label_proposals WHERE regexp_replace(label, '[\s\p{Z}]', '', 'g') <> '')"
 _CONCEPTS = f"""con AS (SELECT iri, label, definition, branch, preferred_label, {sql_content('label')} AS lc, {sql_content('definition')} AS dc, {sql_content('preferred_label')} AS pc, list_transform(coalesce(alternative_labels, []), lambda s: {sql_content('s')}) AS sc FROM concepts)"""
 
 
@@ -288,7 +288,7 @@ gr AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + k - 1], ' ') AS g FROM (S
 SELECT doc_id, count(*) AS hits FROM gr JOIN s USING (g) GROUP BY doc_id""",
     "match_pipeline": _MATCH,
     "label_resolver": f"""WITH {_TERMS}, {_CONCEPTS}, {_decompose_sql('terms')}, every AS (SELECT DISTINCT part AS term FROM split WHERE trim(part) <> ''), {_score_sql('every')},
-top AS (SELECT term AS surface, iri, score FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, iri) AS n FROM scored WHERE score > 0) WHERE n = 1 AND score >= 80),
+top AS (SELECT term AS surface, iri, score FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, iri) AS n FROM scored WHERE score > 0) WHERE n = 1 AND score >= 92),
 f AS (SELECT term, pos, surface, iri, score, bool_or(pos > 0) OVER (PARTITION BY term) AS parts FROM split JOIN top ON part = surface)
 SELECT term, iri, score, surface FROM (SELECT *, row_number() OVER (PARTITION BY term, iri ORDER BY pos) AS n FROM f WHERE (pos > 0) = parts) WHERE n = 1""",
     "label_index": f"WITH {_LABELS} SELECT label_key, iri, kind FROM labels",
