@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.gates import enforce_verdict
+from termloom.functions.scoring import sql_content
 from termloom.functions.text import content_words, jaccard
 from termloom.operators import annotate, audit, embedding, evaluate, gold, reconcile
 from termloom.operators.catalog import ConceptCatalog
@@ -267,6 +268,32 @@ SELECT count_if(e2 > e1) AS improved, count_if(e2 < e1) AS regressed, count_if(e
     "judge_enforcement": "SELECT proposal_id, CASE WHEN method = 'search' THEN greatest(55.0::DOUBLE, least(65.0::DOUBLE, score)) WHEN method = 'reviewer' THEN least(score, 85.0::DOUBLE) WHEN iri IS NULL THEN 0.0::DOUBLE ELSE score END AS adjusted FROM label_proposals WHERE score IS NOT NULL",
     "feedback_insights": f"WITH {_FEEDBACK} SELECT stage, count_if(rating = 'up') AS up, count_if(rating = 'down') AS down, count_if(rating = 'dismissed') AS dismissed, count(*) AS total FROM f GROUP BY ROLLUP (stage)",
     "top_downvoted": f"WITH {_FEEDBACK} SELECT iri, n AS count, 'L' || iri AS label, CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS place FROM (SELECT iri, count(*) AS n, min(id) AS first FROM f WHERE rating = 'down' AND iri IS NOT NULL GROUP BY iri) ORDER BY n DESC, first LIMIT 10",
+    "recent_feedback": f"WITH {_FEEDBACK} SELECT f.id, f.rating FROM f JOIN events e ON e.event_id = f.id ORDER BY e.ts DESC, f.id LIMIT 20",
+    "judge_answers": """WITH r AS (SELECT CAST(value_id AS VARCHAR) AS query_id, iri, max(score) AS score FROM label_proposals WHERE iri IS NOT NULL AND score IS NOT NULL GROUP BY ALL)
+SELECT query_id, iri, greatest(0.0::DOUBLE, least(100.0::DOUBLE, greatest(score - 5, least(score + 5, least(100.0::DOUBLE, greatest(0.0::DOUBLE, score + 3)))))) AS score, 'confirmed' AS verdict, 'ok' AS reasoning FROM r""",
+    "pair_blocks": """WITH g AS (SELECT DISTINCT item_id, ancestor_path AS i, gold_iris AS b FROM gold_rows WHERE len(ancestor_path) > 0 AND len(gold_iris) > 0),
+r AS (SELECT item_id, len(i) <> 1 AND len(i) <> len(b) AS ambiguous, CASE WHEN len(i) = 1 THEN [b] WHEN len(i) = len(b) THEN list_transform(b, lambda x: [x])
+  ELSE list_transform(range(1, len(i) + 1), lambda k: CASE WHEN k = 1 THEN b[1:1] WHEN k = len(i) THEN b[2:] ELSE b[1:0] END) END AS reading FROM g)
+SELECT DISTINCT item_id, ambiguous, array_to_string(list_transform(reading, lambda x: array_to_string(x, ',')), '|') AS reading,
+  concat_ws(',', CASE WHEN len(list_filter(reading, lambda x: len(x) = 0)) > 0 THEN 'empty_input' END, CASE WHEN len(list_filter(reading, lambda x: len(x) <> len(list_distinct(x)))) > 0 THEN 'duplicate_value' END) AS violations FROM r""",
+    "reconcile_sides": """WITH dr AS (SELECT lower(raw) AS key, coalesce(iri, '') AS iri, CASE WHEN suspect THEN 0.55 ELSE 0.72 END AS c, value_id AS ord FROM gold_values WHERE raw IS NOT NULL AND trim(raw) <> ''),
+mr AS (SELECT lower(label) AS key, coalesce(iri, '') AS iri, coalesce(score, 50.0) / 100.0 AS c, proposal_id AS ord FROM label_proposals WHERE label IS NOT NULL AND trim(label) <> ''),
+d AS (SELECT key, iri, arg_max(c, ord) AS c, min(ord) AS pos FROM dr GROUP BY ALL), m AS (SELECT key, iri, arg_max(c, ord) AS c, min(ord) AS pos FROM mr GROUP BY ALL),
+b AS (SELECT d.key, d.iri, d.c AS dc, m.c AS mc FROM d JOIN m USING (key, iri)), od AS (SELECT * FROM d ANTI JOIN m USING (key, iri)), om AS (SELECT * FROM m ANTI JOIN d USING (key, iri)),
+bd AS (SELECT od.key, od.c AS dc, f.c AS mc, f.iri FROM od JOIN (SELECT key, arg_min(iri, pos) AS iri, arg_min(c, pos) AS c FROM om GROUP BY key) f USING (key) WHERE od.iri = ''),
+lm AS (SELECT * FROM om ANTI JOIN bd USING (key, iri)), ld AS (SELECT * FROM od WHERE NOT (iri = '' AND key IN (SELECT key FROM bd))),
+bm AS (SELECT lm.key, lm.c AS mc, f.c AS dc, f.iri FROM lm JOIN (SELECT key, arg_min(iri, pos) AS iri, arg_min(c, pos) AS c FROM ld GROUP BY key) f USING (key) WHERE lm.iri = ''),
+x AS (SELECT key, iri, dc, mc FROM b UNION ALL SELECT key, iri, dc, mc FROM bd UNION ALL SELECT key, iri, dc, mc FROM bm)
+SELECT 'both_agree' AS category, key, iri, least(1.0::DOUBLE, greatest(dc, mc)::DOUBLE + 0.05::DOUBLE * (1.0::DOUBLE - greatest(dc, mc)::DOUBLE)) AS confidence, 'reconciled' AS source FROM x
+UNION ALL SELECT 'dictionary_only', key, iri, c::DOUBLE, 'dictionary' FROM (SELECT * FROM ld ANTI JOIN bm USING (key, iri)) WHERE c >= 0.6
+UNION ALL SELECT 'model_only', key, iri, c::DOUBLE, 'model' FROM lm WHERE NOT (iri = '' AND key IN (SELECT key FROM bm))""",
+    "miss_clusters": f"""WITH {_SCORES}, lf AS (SELECT item_id, leaf FROM latest WHERE n = 1), miss AS (SELECT item_id, unnest(list_filter(gold, lambda g: NOT list_contains(answers, g))) AS iri FROM scores),
+e AS (SELECT DISTINCT iri AS c, unnest(parent_iris) AS p FROM concepts), kin AS (SELECT c AS iri, p AS other FROM e UNION SELECT p, c FROM e),
+near AS (SELECT DISTINCT m.item_id, m.iri FROM miss m JOIN kin USING (iri) JOIN ranked r ON r.item_id = m.item_id AND r.iri = kin.other),
+s AS (SELECT m.item_id, m.iri, r.rank, n.iri IS NOT NULL AS neighbor, c.iri IS NOT NULL AND lower(l.leaf) = lower(c.label) AS exact, CASE WHEN c.iri IS NULL THEN 0 ELSE len(list_intersect({sql_content('l.leaf')}, {sql_content('c.label')})) END AS shared
+  FROM miss m JOIN lf l USING (item_id) LEFT JOIN ranked r ON r.item_id = m.item_id AND r.iri = m.iri LEFT JOIN near n ON n.item_id = m.item_id AND n.iri = m.iri LEFT JOIN concepts c ON c.iri = m.iri),
+k AS (SELECT CASE WHEN rank IS NOT NULL THEN 'ranked_below_cutoff' WHEN coalesce(exact, false) THEN 'normalization' WHEN neighbor THEN 'hierarchy_near_miss' WHEN shared = 0 THEN 'synonymy' ELSE 'candidate_gap_unreachable' END AS cluster FROM s)
+SELECT cluster, CASE WHEN cluster = 'ranked_below_cutoff' THEN cluster ELSE 'candidate_gap_unreachable' END AS reachability, count(*) AS misses FROM k GROUP BY cluster""",
     "forward_fill": """WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS l1, CASE WHEN o_totalprice > 200000 THEN 'P' || o_orderpriority END AS l2, CASE WHEN o_orderstatus <> 'F' THEN CAST(o_orderkey AS VARCHAR) END AS l3 FROM orders),
 p AS (SELECT *, l1 IS NOT NULL AND l2 IS NULL AS opens FROM o), q AS (SELECT *, sum(opens::INT) OVER w AS part, last_value(CASE WHEN opens THEN l1 END IGNORE NULLS) OVER w AS head1 FROM p WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))
 SELECT o_orderkey, head1, last_value(l2 IGNORE NULLS) OVER (PARTITION BY o_custkey, part ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS head2, CASE WHEN opens THEN 'level1' WHEN l3 IS NOT NULL THEN 'item' WHEN l2 IS NOT NULL THEN 'level2' ELSE 'continuation' END AS role FROM q""",
@@ -304,6 +331,12 @@ SELECT query_id, vec_id, CAST(place AS INTEGER) AS place, round(c, 5) AS cosine
 n AS (SELECT iri, CAST('0x' || right(md5(w), 2) AS INTEGER) AS bucket, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT iri, sqrt(sum(n * n)) AS norm FROM n GROUP BY iri) SELECT iri, bucket, round(n / norm, 9) AS weight FROM n JOIN m USING (iri)""",
 }
 
+SQL["grid_choice"] = f"SELECT * FROM ({SQL['grid_search']}) ORDER BY f1 DESC, k, threshold DESC LIMIT 1"
+SQL["split_checks"] = f"""WITH sp AS (SELECT * FROM ({SQL['split_frozen_tune']})), l AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY loaded_at DESC, coalesce(array_to_string(ancestor_path, '|'), '') DESC, coalesce(stratum_id, '') DESC) AS n FROM gold_rows WHERE NOT blank),
+i AS (SELECT item_id, upper(trim(coalesce(stratum_id, ''))) AS stratum_id, lower(coalesce(ancestor_path[2], '')) AS group_id, lower(coalesce(leaf, '')) AS surface FROM l WHERE n = 1), j AS (SELECT * FROM sp JOIN i USING (item_id) WHERE slice IN ('tune', 'frozen'))
+SELECT 'two_slices' AS rule, count(*) AS n FROM (SELECT item_id FROM sp GROUP BY item_id HAVING count(DISTINCT slice) > 1) UNION ALL SELECT 'shared_surface', count(*) FROM (SELECT surface FROM j GROUP BY surface HAVING count(DISTINCT slice) > 1)
+UNION ALL SELECT 'straddling_group', count(*) FROM (SELECT stratum_id, group_id FROM j GROUP BY ALL HAVING count(DISTINCT slice) > 1)"""
+
 QUERIES = {
     f.__name__: f
     for f in (

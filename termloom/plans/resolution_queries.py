@@ -165,6 +165,7 @@ def normal_forms(spark, d):
 
 _TOK = "list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[a-zA-Z]+'), lambda w: lower(w)), lambda w: length(w) >= 2)"
 _TERMS = r"terms AS (SELECT DISTINCT label AS term FROM label_proposals WHERE regexp_replace(label, '[\s\p{Z}]', '', 'g') <> '')"
+_EXPANSION_ROWS = "expansions(word, n, more) AS (VALUES " + ", ".join(f"('{w}', {n}, '{m}')" for w, v in text.EXPANSIONS.items() for n, m in enumerate(v.split())) + ")"
 _CONCEPTS = f"""con AS (SELECT iri, label, definition, branch, preferred_label, {sql_content('label')} AS lc, {sql_content('definition')} AS dc, {sql_content('preferred_label')} AS pc, list_transform(coalesce(alternative_labels, []), lambda s: {sql_content('s')}) AS sc FROM concepts)"""
 
 
@@ -260,6 +261,17 @@ SQL = {
     "tokenize_documents": f"SELECT doc_id, CAST(len({_TOK.format(x='text')}) AS INTEGER) AS tokens, CAST(len(list_distinct({_TOK.format(x='text')})) AS INTEGER) AS distinct_tokens, CAST(len({sql_content('text')}) AS INTEGER) AS content_words FROM documents",
     "content_word_counts": f"SELECT word, count(*) AS documents FROM (SELECT unnest({sql_content('text')}) AS word FROM documents) GROUP BY word",
     "decompose_terms": f"WITH leaves AS (SELECT DISTINCT leaf AS term FROM gold_rows WHERE leaf IS NOT NULL), {_decompose_sql('leaves')} SELECT term, pos, part FROM split",
+    "phrase_windows": f"""WITH w AS (SELECT DISTINCT leaf AS term, regexp_extract_all(leaf, '[A-Za-z0-9][A-Za-z0-9''-]*') AS w FROM gold_rows WHERE leaf IS NOT NULL),
+p AS (SELECT term, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT term, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)))
+SELECT DISTINCT term, phrase FROM p WHERE len({sql_content('phrase')}) > 0""",
+    "search_terms_expand": f"""WITH {_TERMS}, {_EXPANSION_ROWS}, t AS (SELECT term, {_TOK.format(x='term')} AS w, {sql_content('term')} AS c FROM terms),
+raw AS (SELECT term, 0 AS a, 0 AS b, 0 AS d, term AS s FROM t
+  UNION ALL SELECT term, 1, -k, i, array_to_string(w[i:i + k - 1], ' ') FROM (SELECT term, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT term, w, unnest(range(2, len(w))) AS k FROM t WHERE len(w) >= 3)) WHERE len({sql_content("array_to_string(w[i:i + k - 1], ' ')")}) > 0
+  UNION ALL SELECT term, 2, -length(x), 0, x FROM (SELECT term, unnest(c) AS x FROM t) WHERE length(x) >= 3
+  UNION ALL SELECT term, 3, i, n, x || ' ' || more FROM (SELECT term, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM t) JOIN expansions ON word = x),
+ord AS (SELECT term, s, row_number() OVER (PARTITION BY term ORDER BY a, b, d, CASE WHEN a = 2 THEN s END) AS n FROM raw),
+one AS (SELECT term, arg_min(s, n) AS s, min(n) AS n FROM ord GROUP BY term, lower(s))
+SELECT term, CAST(row_number() OVER (PARTITION BY term ORDER BY n) - 1 AS INTEGER) AS pos, s AS search_term FROM one""",
     "word_overlap_pairs": f"WITH v AS (SELECT DISTINCT raw, iri FROM gold_values WHERE raw IS NOT NULL), p AS (SELECT raw, iri, {sql_content('raw')} AS a, {sql_content('label')} AS b FROM v JOIN concepts USING (iri)) SELECT raw, iri, {sql_overlap('a', 'b')} AS overlap FROM p",
     "relevance_scores": f"WITH v AS (SELECT DISTINCT raw AS term, iri FROM gold_values WHERE raw IS NOT NULL), {_CONCEPTS}, raw AS (SELECT term, {sql_strip('lower(term)')} AS q, {sql_content('term')} AS qc, iri, label, lc, {sql_relevance(sql_strip('lower(term)'), sql_content('term'), 'label', 'lc', 'definition', 'dc', 'sc', 'preferred_label', 'pc')} FROM v JOIN con USING (iri)) SELECT term AS raw, iri, {SQL_FINAL} AS score FROM raw",
     "label_search_topk": _SEARCH,
