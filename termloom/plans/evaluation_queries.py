@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions import normalize
 from termloom.functions.gates import enforce_verdict
 from termloom.functions.scoring import sql_content
 from termloom.functions.text import content_words, jaccard
 from termloom.operators import annotate, audit, embedding, evaluate, gold, reconcile
 from termloom.operators.catalog import ConceptCatalog
 from termloom.plans import pipeline
+from termloom.plans.resolution_queries import _SPANS
 from termloom.runtime import table
 
 THRESHOLD, K = 0.55, 4
@@ -246,6 +248,20 @@ scores AS (SELECT g.item_id, firm, stratum_id, gold, coalesce(answers, []) AS an
 _FEEDBACK = "f AS (SELECT event_id AS id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'up' WHEN event_type = 'error' THEN 'down' WHEN event_type = 'view' THEN 'dismissed' ELSE 'other' END AS rating, coalesce(nullif(CAST(user_id % 5 AS VARCHAR), '0'), 'overall') AS stage, json_extract_string(props, '$.k') AS iri FROM events)"
 _POINTS = "(VALUES " + ", ".join(f"({t}::DOUBLE)" for t in evaluate.THRESHOLDS) + ") AS t(threshold), (VALUES " + ", ".join(f"({k})" for k in evaluate.KS) + ") AS u(k)"
 
+_BLANKS = r"trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'))"
+# compatibility forms of single Latin-1 characters, which NFC leaves alone
+_COMPATIBLE = {"\u00a0": " ", "\u00a8": " \u0308", "\u00aa": "a", "\u00af": " \u0304", "\u00b2": "2", "\u00b3": "3", "\u00b4": " \u0301", "\u00b5": "\u03bc", "\u00b8": " \u0327", "\u00b9": "1", "\u00ba": "o", "\u00bc": "1\u20444", "\u00bd": "1\u20442", "\u00be": "3\u20444", "\u02dc": " \u0303", "\u2017": " \u0333", "\u2026": "...", "\u2122": "TM"}
+_NFKC = "nfc_normalize({x})"
+for _from, _to in _COMPATIBLE.items():
+    _NFKC = f"replace({_NFKC}, '{_from}', '{_to}')"
+_NORMAL = r"trim(regexp_replace(regexp_replace(" + _NFKC + r", '[\x{{2010}}-\x{{2015}}\x{{2212}}\x{{FE58}}\x{{FE63}}\x{{FF0D}}]', '-', 'g'), '[\s\p{{Z}}\x{{0B}}\x{{1C}}-\x{{1F}}]+', ' ', 'g'))"
+_KEY = f"lower({_NORMAL})"
+# singular and plural forms of the last word of nt, in the order of the rule
+_LAST = "regexp_extract(nt, '([^ ]*)$', 1)"
+_PLURALS = f"""list_filter([CASE WHEN lower({_LAST}) LIKE '%ies' AND length({_LAST}) > 3 THEN left(nt, length(nt) - 3) || 'y' END, CASE WHEN lower({_LAST}) LIKE '%es' AND length({_LAST}) > 2 THEN left(nt, length(nt) - 2) END,
+  CASE WHEN lower({_LAST}) LIKE '%s' AND lower({_LAST}) NOT LIKE '%ss' AND length({_LAST}) > 1 THEN left(nt, length(nt) - 1) END, CASE WHEN lower({_LAST}) LIKE '%y' AND length({_LAST}) > 1 AND lower({_LAST})[-2] NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(nt, length(nt) - 1) || 'ies' END,
+  CASE WHEN regexp_matches(lower({_LAST}), '(s|x|z|ch|sh)$') THEN nt || 'es' END, CASE WHEN nt <> '' THEN nt || 's' END], lambda m: m IS NOT NULL)"""
+
 SQL = {
     "answer_ranking": f"WITH {_RANKED} SELECT item_id, iri, score, rank, probability FROM ranked",
     "answer_commit": f"WITH {_RANKED} SELECT item_id, iri, rank FROM ranked WHERE probability >= {THRESHOLD} AND rank <= {K}",
@@ -294,6 +310,26 @@ s AS (SELECT m.item_id, m.iri, r.rank, n.iri IS NOT NULL AS neighbor, c.iri IS N
   FROM miss m JOIN lf l USING (item_id) LEFT JOIN ranked r ON r.item_id = m.item_id AND r.iri = m.iri LEFT JOIN near n ON n.item_id = m.item_id AND n.iri = m.iri LEFT JOIN concepts c ON c.iri = m.iri),
 k AS (SELECT CASE WHEN rank IS NOT NULL THEN 'ranked_below_cutoff' WHEN coalesce(exact, false) THEN 'normalization' WHEN neighbor THEN 'hierarchy_near_miss' WHEN shared = 0 THEN 'synonymy' ELSE 'candidate_gap_unreachable' END AS cluster FROM s)
 SELECT cluster, CASE WHEN cluster = 'ranked_below_cutoff' THEN cluster ELSE 'candidate_gap_unreachable' END AS reachability, count(*) AS misses FROM k GROUP BY cluster""",
+    "merge_cells": f"""WITH c AS (SELECT {_KEY.format(x='raw')} AS key, iri, suspect FROM gold_values WHERE raw IS NOT NULL)
+SELECT key, count(*) AS cells, count(DISTINCT iri) > 1 AS inconsistent, coalesce(string_agg(DISTINCT iri, '|' ORDER BY iri), '') AS answers, CASE WHEN bool_or(coalesce(suspect, false)) THEN 'suspect' ELSE '' END AS flags
+FROM c WHERE key NOT IN ({", ".join(f"'{w}'" for w in normalize.NON_REFERENTIAL)}) GROUP BY key""",
+    "display_segments": f"""WITH {_SPANS}, d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, start || ':' || "end" || ':' || iri AS id, start, "end" AS e, iri, CASE WHEN kind = 'preferred' THEN 0.72 ELSE 0.55 END AS c FROM spans),
+p AS (SELECT doc_id, 0 AS p FROM d UNION SELECT doc_id, n FROM d UNION SELECT doc_id, start FROM s UNION SELECT doc_id, e FROM s), cuts AS (SELECT doc_id, p AS a, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS z FROM p),
+best AS (SELECT cuts.doc_id, a, z, s.iri, min({{'c': -s.c, 'id': s.id}}) AS b FROM cuts JOIN s ON s.doc_id = cuts.doc_id AND s.start <= a AND s.e >= z WHERE z IS NOT NULL GROUP BY ALL),
+ids AS (SELECT doc_id, a, z, string_agg(b.id, '|' ORDER BY b) AS ids FROM best GROUP BY ALL)
+SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS "end", coalesce(ids, '') AS ids FROM cuts LEFT JOIN ids USING (doc_id, a, z) WHERE z IS NOT NULL""",
+    "label_ladder": f"""WITH v AS (SELECT DISTINCT raw AS value FROM gold_values WHERE raw IS NOT NULL), f AS (SELECT value, {_BLANKS.format(x='value')} AS s FROM v),
+c AS (SELECT value, contains(s, ':') AS has, trim(regexp_extract(s, '([^:]*)$', 1)) AS last, trim(regexp_replace(s, '^[^:]*:', '')) AS first, nullif(trim(split_part(s, ':', 1)), '') AS bucket FROM f),
+t AS (SELECT value, 0 AS p, 'plain' AS parse, value AS t FROM c WHERE NOT has OR (last = '' AND first = '') UNION ALL SELECT value, 0, 'rhs_last', CASE WHEN last <> '' THEN last ELSE first END FROM c WHERE has AND (last <> '' OR first <> '')
+  UNION ALL SELECT value, 1, 'rhs_first', first FROM c WHERE has AND last <> '' AND first <> '' AND first <> last UNION ALL SELECT value, 2, 'whole', value FROM c WHERE has AND (last <> '' OR first <> '') UNION ALL SELECT value, 3, 'bucket', bucket FROM c WHERE has AND bucket IS NOT NULL AND (last <> '' OR first <> '')),
+n AS (SELECT value, p, parse, lower(t) AS low, {_KEY.format(x='t')} AS key, {_PLURALS} AS more FROM (SELECT *, {_NORMAL.format(x='t')} AS nt FROM t)),
+asks AS (SELECT value, p, parse, unnest([0, 1, 2, 3]) AS o, unnest(['exact_preferred', 'exact_alternative', 'normalized_preferred', 'normalized_alternative']) AS rung, unnest([low, low, key, key]) AS name FROM n
+  UNION ALL SELECT value, p, parse, 2 + 2 * i + x, CASE x WHEN 0 THEN 'normalized_preferred' ELSE 'normalized_alternative' END, lower(m) FROM (SELECT value, p, parse, unnest(more) AS m, generate_subscripts(more, 1) AS i FROM n), (SELECT unnest([0, 1]) AS x)),
+names AS (SELECT iri, 'preferred' AS tier, preferred_label AS name FROM concepts UNION SELECT iri, 'preferred', label FROM concepts UNION SELECT iri, 'alternative', unnest(alternative_labels) FROM concepts),
+rungs AS (SELECT rung, name, min(iri) AS iri, count(DISTINCT iri) AS hits FROM (SELECT 'exact_' || tier AS rung, lower(name) AS name, iri FROM names WHERE trim(name) <> '' UNION ALL SELECT 'normalized_' || tier, {_KEY.format(x='name')}, iri FROM names WHERE trim(name) <> '') GROUP BY ALL),
+hit AS (SELECT a.*, r.iri, r.hits FROM asks a JOIN rungs r USING (rung, name)), best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY value ORDER BY p, o) = 1)
+SELECT value, iri, CASE WHEN iri IS NULL THEN 'unresolved' WHEN o >= 4 THEN 'lemma_variant' ELSE rung END AS rung, coalesce(hits > 1, false) AS ambiguous, coalesce(parse, 'unresolved') AS parse FROM v LEFT JOIN best USING (value)""",
     "forward_fill": """WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS l1, CASE WHEN o_totalprice > 200000 THEN 'P' || o_orderpriority END AS l2, CASE WHEN o_orderstatus <> 'F' THEN CAST(o_orderkey AS VARCHAR) END AS l3 FROM orders),
 p AS (SELECT *, l1 IS NOT NULL AND l2 IS NULL AS opens FROM o), q AS (SELECT *, sum(opens::INT) OVER w AS part, last_value(CASE WHEN opens THEN l1 END IGNORE NULLS) OVER w AS head1 FROM p WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))
 SELECT o_orderkey, head1, last_value(l2 IGNORE NULLS) OVER (PARTITION BY o_custkey, part ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS head2, CASE WHEN opens THEN 'level1' WHEN l3 IS NOT NULL THEN 'item' WHEN l2 IS NOT NULL THEN 'level2' ELSE 'continuation' END AS role FROM q""",
