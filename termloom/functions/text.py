@@ -105,13 +105,14 @@ def phrase_windows(text: Column, longest: int = 5) -> Column:
 
 
 def snippet(text: Column, words: int = 25) -> Column:
-    """The first words of a text."""
-    return F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, words), " ")
+    """The first words of a text, with an ellipsis where more follow; empty for null."""
+    w = F.filter(F.split(strip(F.coalesce(text, F.lit(""))), r"[\s\p{Z}]+"), lambda x: x != "")
+    return F.concat(F.array_join(F.slice(w, 1, words), " "), F.when(F.size(w) > words, F.lit("…")).otherwise(F.lit("")))
 
 
 def strip_fences(text: Column) -> Column:
-    """Text without a leading and a trailing code fence."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    """Text without a leading fence of three or more backticks (with 'json' or no word behind it) and a trailing one."""
+    return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^`{3,}\s*(?:json)?\s*", ""), r"\s*`{3,}\s*$", ""))
 
 
 # Words that tell miss analysis nothing.

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.runtime import cut
+
 #: Label kinds from the most to the least trusted.
 LABEL_KINDS = ("preferred", "alternative", "lemma_preferred", "lemma_alternative", "hidden", "translation")
 
@@ -62,12 +64,51 @@ class ConceptCatalog:
         w = Window.partitionBy("label_key").orderBy("rank", "iri")
         return old.unionByName(new).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("label_key", "iri", "kind")
 
-    def branch_roots(self, depth: int = 12) -> DataFrame:
-        """iri, branch: label of the root reached by always taking the smallest parent; a walk that meets no root within ``depth``
-        steps or runs in a circle ends with ''."""
-        up = self.edges.groupBy(F.col("child").alias("at")).agg(F.min("parent").alias("up"))
-        walk = self.concepts.select("iri", F.col("iri").alias("at"))
-        for _ in range(depth):
-            walk = walk.join(up, "at", "left").select("iri", F.coalesce("up", "at").alias("at"))
-        root = self.concepts.select(F.col("iri").alias("at"), F.col("label").alias("root_label")).join(up.select("at"), "at", "left_anti")
-        return walk.join(root, "at", "left").select("iri", F.coalesce("root_label", F.lit("")).alias("branch"))
+    def get(self, iris: DataFrame) -> DataFrame:
+        """The concepts that ``iris`` (a column iri) names; unknown ones find nothing."""
+        return iris.select("iri").distinct().join(self.concepts, "iri")
+
+    def parents_of(self, iris: DataFrame) -> DataFrame:
+        """iri, parent, label, place: the known parents of each concept in order of their iris."""
+        p = iris.select(F.col("iri").alias("child")).distinct().join(self.edges, "child").join(self.concepts.select(F.col("iri").alias("parent"), "label"), "parent")
+        return p.select(F.col("child").alias("iri"), "parent", "label", F.row_number().over(Window.partitionBy("child").orderBy("parent")).cast("int").alias("place"))
+
+    def branch_roots(self) -> DataFrame:
+        """iri, branch: label of the concept where the way up ends that always takes the smallest known parent. Where the way runs into a circle it ends where it
+        would meet a concept again: there the walk stands on the one that it met first.
+
+        Pointers double each round (the concept 2^k steps up), so a way of any length takes a logarithmic number of rounds. Those that never meet a root are few; their circles
+        are walked from the point of entry."""
+        known = self.concepts.select(F.col("iri").alias("parent")).distinct()
+        up = self.edges.join(known, "parent").groupBy(F.col("child").alias("iri")).agg(F.min("parent").alias("up"))
+        one = self.concepts.select("iri").distinct().join(up, "iri", "left").select("iri", F.col("up"))
+        jump = cut(one.select("iri", F.coalesce("up", "iri").alias("at"), F.col("up").isNull().alias("ended")))
+        n, steps = jump.count(), 1
+        while steps < n:
+            nxt = jump.select(F.col("iri").alias("at"), F.col("at").alias("_at"), F.col("ended").alias("_e"))
+            jump = cut(jump.join(nxt, "at").select("iri", F.col("_at").alias("at"), "_e").withColumnRenamed("_e", "ended"))
+            steps *= 2
+            if jump.filter("not ended").limit(1).count() == 0:
+                break
+        # after that many steps what hasn't ended stands on its circle
+        rings = jump.filter("not ended").select("at").distinct()
+        lost = jump.filter("not ended").select("iri")
+        entry = None
+        if rings.limit(1).count():
+            circle = cut(rings.select(F.col("at").alias("iri")))
+            while True:  # all concepts of the circles
+                more = cut(circle.join(up, "iri").select(F.col("up").alias("iri")).unionByName(circle).distinct())
+                if more.count() == circle.count():
+                    break
+                circle = more
+            entry = cut(circle.select("iri", F.col("iri").alias("branch_iri")))
+            while True:  # whoever leads into the circle takes its point of entry
+                new = lost.join(entry, "iri", "left_anti").join(up, "iri").join(entry.select(F.col("iri").alias("up"), "branch_iri"), "up").select("iri", "branch_iri")
+                grown = cut(entry.unionByName(new))
+                if grown.count() == entry.count():
+                    break
+                entry = grown
+        ends = jump.filter("ended").select("iri", F.col("at").alias("branch_iri"))
+        if entry is not None:
+            ends = ends.unionByName(entry.join(lost, "iri"))
+        return ends.join(self.concepts.groupBy(F.col("iri").alias("branch_iri")).agg(F.max("label").alias("branch")), "branch_iri", "left").select("iri", F.coalesce("branch", F.lit("")).alias("branch"))

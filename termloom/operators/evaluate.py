@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import random
+import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,27 +119,71 @@ def _pava(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]
     return [(x, t / w) for x, t, w in pools]
 
 
-def fit_steps(samples: DataFrame, digits: int = 6, bins: int = 100_000) -> DataFrame:
-    """x, p: the isotonic step function of calibration_samples, compressed to the steps where p changes. Samples are pooled to at most ``bins``
-    scores first when there are more: rounding is refined by powers of ten until they fit one task."""
-    n = samples.count()
-    places = 9
-    pooled = samples
-    while n > bins and places > 0:
-        places -= 1
-        pooled = samples.groupBy(F.round("score", places).alias("score")).agg(F.sum("samples").alias("samples"), F.sum("correct").alias("correct"))
-        n = pooled.count()
+def _pools(points: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """As _pava, with (right edge, sum, weight) of each pool."""
+    pools: list[list[float]] = []
+    for x, total, weight in points:
+        pools.append([x, total, weight])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] > pools[-1][1] / pools[-1][2]:
+            right = pools.pop()
+            pools[-1] = [right[0], pools[-1][1] + right[1], pools[-1][2] + right[2]]
+    return [tuple(p) for p in pools]
+
+
+def fit_steps(samples: DataFrame, digits: int = 6) -> DataFrame:
+    """x, p: the isotonic step function of calibration_samples, compressed to the steps where p changes.
+
+    The scores are cut into ranges, each range is pooled by itself, and the pools are pooled again: pooling neighbours that violate the order gives the same in any order, so no score
+    is rounded and only the pools, which are far fewer, meet in one task."""
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points: list[tuple[float, float, float]] = []
+        for b in batches:
+            points = _pools([*points, *zip(b["score"], b["correct"].astype(float), b["samples"].astype(float))])
+        if points:
+            yield pd.DataFrame(points, columns=["score", "correct", "samples"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score")
         out: list[tuple[float, float]] = []
-        for x, p in _pava(list(zip(pdf["score"], pdf["correct"].astype(float), pdf["samples"].astype(float)))):
+        for x, p in _pava(list(zip(pdf["score"], pdf["correct"], pdf["samples"]))):
             p = round(p, digits)
             if not out or out[-1][1] != p:
                 out.append((float(x), p))
         return pd.DataFrame(out, columns=["x", "p"])
 
-    return pooled.filter("score is not null").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: fit(pdf), "x double, p double")
+    ranges = samples.filter("score is not null").select("score", "correct", "samples").repartitionByRange("score").sortWithinPartitions("score")
+    pools = ranges.mapInPandas(local, "score double, correct double, samples double")
+    return pools.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: fit(pdf), "x double, p double")
+
+
+def weak_band(steps: list[tuple[float, float]], weak: float = 0.5, strong: float = 0.8) -> tuple[float, float]:
+    """The scores from which the probability reaches ``weak`` and ``strong``; the top of the fit where it never does; without steps the shares themselves."""
+    if not steps:
+        return weak * 100.0, strong * 100.0
+    top = steps[-1][0]
+    low, high = (next((x for x, p in steps if p >= bound), top) for bound in (weak, strong))
+    return low, max(low, high)
+
+
+def frontier(points: DataFrame, chosen: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    """The grid points next to the chosen one (a table of one row): at most one step of threshold and of k away."""
+    c = chosen.select(F.col("threshold").alias("_t"), F.col("k").alias("_k")).limit(1)
+    at = lambda x: F.array_position(F.array(*[F.lit(float(t)) for t in thresholds]), x)
+    return points.join(F.broadcast(c), how="cross").filter((F.abs(at(F.col("threshold")) - at(F.col("_t"))) <= 1) & (F.abs(F.col("k") - F.col("_k")) <= 1)).drop("_t", "_k")
+
+
+def replay(answers: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """by, items, gold, predicted, tp, fp, fn, exact_items, empty_items: committed answers (item_id, answers) counted again against other gold sets (by, item_id, iris);
+    items without gold leave the count, and their answers with them."""
+    none = F.array().cast("array<string>")
+    clean = lambda c: F.array_distinct(F.filter(F.coalesce(c, none), lambda x: x.isNotNull() & (x != "")))
+    j = gold.withColumn("_g", clean(F.col("iris"))).filter(F.size("_g") > 0).join(answers.select("item_id", F.col("answers").alias("_a")), "item_id", "left").withColumn("_a", clean(F.col("_a")))
+    tp = F.size(F.array_intersect("_a", "_g"))
+    return j.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("items"), F.sum(F.size("_g")).alias("gold"), F.sum(F.size("_a")).alias("predicted"), F.sum(tp).alias("tp"), F.sum(F.size("_a") - tp).alias("fp"), F.sum(F.size("_g") - tp).alias("fn"),
+        F.count_if((tp == F.size("_g")) & (tp == F.size("_a"))).alias("exact_items"), F.count_if(F.size("_a") == 0).alias("empty_items"),
+    )
 
 
 def grid(ranked: DataFrame, gold: DataFrame, thresholds=THRESHOLDS, ks=KS) -> DataFrame:
@@ -166,27 +212,46 @@ def paired_units(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "item_id").withColumn("change", F.col("exact_b") - F.col("exact_a"))
 
 
-def bootstrap_f1_delta(units: DataFrame, resamples: int = 2000, seed: int = 20260727, alpha: float = 0.05, blocks: int = 512) -> dict:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well mixed 64-bit number for each number."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def bootstrap_f1_delta(units: DataFrame, resamples: int = 2000, seed: int = 20260727, alpha: float = 0.05) -> dict:
     """Percentile bootstrap of the F1 difference between two runs: point, low, high, n_units.
 
-    Items are first added up in ``blocks`` hash blocks, which the driver draws with replacement; what it reads is bounded by
-    ``blocks`` rows however many items there are (a block bootstrap; with fewer items than blocks it is the plain one)."""
+    Items are resampled in the cluster: each item has in each resample a Poisson(1) weight that depends on its id, the resample and the seed alone, the usual stand-in for drawing n of
+    n with replacement where n is large. Each task adds its items up to one row per resample, so the driver reads ``resamples`` rows however many items there are, and
+    the result doesn't depend on how the items are spread."""
     names = ["tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b"]
-    rows = units.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("b")).agg(*[F.sum(c).alias(c) for c in names], F.count(F.lit(1)).alias("n")).orderBy("b").collect()
+    below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((resamples, len(names)))
+        draws = _mixed(np.arange(resamples, dtype=np.uint64) + np.uint64(seed))
+        for b in batches:
+            marks = b["mark"].to_numpy(np.int64).astype(np.uint64)
+            counts = b[names].to_numpy(float)
+            for a in range(0, len(marks), 500):
+                u = (_mixed(marks[a : a + 500, None] ^ draws[None, :]) >> np.uint64(11)).astype(float) / float(1 << 53)
+                sums += np.searchsorted(below, u).T @ counts[a : a + 500]
+        yield pd.DataFrame({"draw": range(resamples), **{n: sums[:, i] for i, n in enumerate(names)}})
 
     def f1(t, p, n):
         return 2 * t / (2 * t + p + n) if t else 0.0
 
-    def delta(sample):
-        s = [sum(r[c] for r in sample) for c in names]
-        return f1(*s[3:]) - f1(*s[:3])
-
-    if not rows:
+    whole = units.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).first()
+    if not whole["n"]:
         return {"point": 0.0, "low": 0.0, "high": 0.0, "n_units": 0}
-    rng = random.Random(seed)
-    draws = sorted(delta([rows[rng.randrange(len(rows))] for _ in rows]) for _ in range(resamples))
+    parts = units.select(F.xxhash64("item_id").alias("mark"), *names).mapInPandas(run, "draw int, " + ", ".join(f"{n} double" for n in names))
+    rows = parts.groupBy("draw").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    draws = sorted(f1(r["tp_b"], r["fp_b"], r["fn_b"]) - f1(r["tp_a"], r["fp_a"], r["fn_a"]) for r in rows)
     at = lambda f: draws[round(f * (len(draws) - 1))]
-    return {"point": delta(rows), "low": at(alpha / 2), "high": at(1 - alpha / 2), "n_units": sum(r["n"] for r in rows)}
+    point = f1(whole["tp_b"], whole["fp_b"], whole["fn_b"]) - f1(whole["tp_a"], whole["fp_a"], whole["fn_a"])
+    return {"point": point, "low": at(alpha / 2), "high": at(1 - alpha / 2), "n_units": whole["n"]}
 
 
 def verdict(ci: dict) -> str:

@@ -135,7 +135,7 @@ def resolve_terms(terms: DataFrame, catalog: ConceptCatalog, least: float = 92.0
 def suggest_subjects(docs: DataFrame, catalog: ConceptCatalog, least: float = 70.0, top: int = 5) -> DataFrame:
     """key, iri, label, confidence, place: subjects suggested by a document's title and headings (columns key, title, headings): title, headings,
     pairs of neighbouring title words and title words of five letters or more are searched; the best hit per concept counts."""
-    words = F.split(F.trim("title"), r"\s+")
+    words = F.filter(F.split(F.trim("title"), r"\s+"), lambda w: F.size(content_words(w)) > 0)
     pairs = F.transform(F.when(F.size(words) >= 2, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, F.lit(2)), " "))
     phrases = F.concat(F.array("title"), F.coalesce("headings", F.array().cast("array<string>")), pairs, F.filter(words, lambda w: F.length(w) >= 5))
     p = docs.select("key", F.explode(F.array_distinct(F.array_compact(phrases))).alias("term")).filter(strip(F.col("term")) != "")
@@ -148,28 +148,52 @@ def suggest_subjects(docs: DataFrame, catalog: ConceptCatalog, least: float = 70
 # -- judge ------------------------------------------------------------------------------------------------------------------
 
 JUDGE_SYSTEM = "You check candidate concepts for a text and answer with JSON only: {\"judged\": [{\"iri_hash\", \"adjusted_score\", \"verdict\", \"reasoning\"}]}. Verdicts: confirmed, boosted, penalized, rejected."
+RERANK_SYSTEM = "Say how well each concept fits the excerpt, from 0.20 (the label matches, the meaning doesn't) over 0.40 (a stretch), 0.60 (secondary) and 0.80 (applies) to 0.95 (central). Answer with JSON: {\"scores\": [{\"iri\", \"contextual_score\", \"reasoning\"}]}."
+#: So much of a text, and of a definition, goes into a prompt: a judge reads no more.
+JUDGE_CHARS, EXCERPT_CHARS, DEFINITION_CHARS = 10_000, 3_000, 200
+
+
+def document_type_section(kind: Column) -> Column:
+    """A heading that names the document's type; empty where none is known."""
+    return F.when(F.coalesce(kind, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("\n## Document type\nThis document is: "), kind, F.lit("\n")))
 
 
 def judge_prompts(ranked: DataFrame, texts: DataFrame) -> DataFrame:
-    """query_id, prompt: text (angle brackets neutralised, first 10,000 characters) and candidates as JSON, best first."""
+    """query_id, system, user: for each query the instructions, and its text (angle brackets blanked, so that it can't close its own frame) with the candidates as
+    JSON, best first. ``texts``: query_id, text, and optionally document_type."""
     c = ranked.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "iri", "label", "score"))), lambda x: F.struct(x["iri"].alias("iri_hash"), x["label"].alias("label"), x["score"].alias("score")))).alias("candidates"))
-    body = F.substring(F.translate(F.coalesce("text", F.lit("")), "<>", "‹›"), 1, 10_000)
-    return c.join(texts.select("query_id", "text"), "query_id").select("query_id", F.concat(F.lit(JUDGE_SYSTEM), F.lit("\n<text>\n"), body, F.lit("\n</text>\n"), F.col("candidates")).alias("prompt"))
+    kind = F.col("document_type") if "document_type" in texts.columns else F.lit(None).cast("string")
+    body = F.translate(F.left(F.coalesce("text", F.lit("")), F.lit(JUDGE_CHARS)), "<>", "  ")
+    t = texts.select("query_id", F.concat(document_type_section(kind), F.lit("Input text: <user_input>"), body, F.lit("</user_input>\n\nCandidates to validate:\n")).alias("_u"))
+    return c.join(t, "query_id").select("query_id", F.lit(JUDGE_SYSTEM).alias("system"), F.concat("_u", "candidates").alias("user"))
+
+
+def rerank_prompts(ranked: DataFrame, texts: DataFrame, concepts: DataFrame) -> DataFrame:
+    """query_id, prompt: an excerpt of the text and the concepts with the beginning of their definitions, for a score by context."""
+    d = ranked.select("query_id", "place", "iri", "label").join(concepts.select("iri", "definition"), "iri", "left")
+    one = F.struct("place", F.col("iri").alias("iri"), F.col("label"), F.left(F.coalesce("definition", F.lit("")), F.lit(DEFINITION_CHARS)).alias("definition"))
+    c = d.groupBy("query_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["iri"].alias("iri"), x["label"].alias("label"), x["definition"].alias("definition")))).alias("concepts"))
+    kind = F.col("document_type") if "document_type" in texts.columns else F.lit(None).cast("string")
+    t = texts.select("query_id", F.concat(F.lit(RERANK_SYSTEM), document_type_section(kind), F.lit("\nExcerpt:\n"), F.left(F.coalesce("text", F.lit("")), F.lit(EXCERPT_CHARS)), F.lit("\n\nConcepts:\n")).alias("_u"))
+    return c.join(t, "query_id").select("query_id", F.concat("_u", "concepts").alias("prompt"))
 
 
 def parse_judgements(answers: DataFrame, ranked: DataFrame) -> DataFrame:
-    """query_id, iri, score, verdict, reasoning from answers (query_id, answer): only known concepts with a true number as score; an unknown
-    verdict confirms; scores are clamped to 0..100 and held to the verdict. What isn't JSON of that shape gives no rows and never fails."""
+    """query_id, iri, score, verdict, reasoning from answers (query_id, answer): only known concepts (named by iri_hash or else iri) with a true number as score, or none,
+    which keeps the original one; an unknown verdict confirms; scores are clamped to 0..100 and then held to the verdict. What isn't JSON of that shape gives no rows and
+    never fails."""
     v = answers.select("query_id", F.try_parse_json(strip_fences(F.col("answer"))).alias("v"))
     rows = v.select("query_id", F.explode(F.coalesce(F.try_variant_get("v", "$.judged", "array<variant>"), F.array().cast("array<variant>"))).alias("j"))
-    kind = F.schema_of_variant(F.try_variant_get("j", "$.adjusted_score", "variant"))
-    typed = rows.filter(F.rlike(kind, F.lit("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$"))).select(
-        "query_id", F.try_variant_get("j", "$.iri_hash", "string").alias("iri"), F.try_variant_get("j", "$.adjusted_score", "double").alias("adjusted"), F.try_variant_get("j", "$.verdict", "string").alias("verdict"), F.coalesce(F.try_variant_get("j", "$.reasoning", "string"), F.lit("")).alias("reasoning")
+    given = F.try_variant_get("j", "$.adjusted_score", "variant")
+    number = F.rlike(F.schema_of_variant(given), F.lit("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$"))
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("j", path, "variant")) == "STRING", F.try_variant_get("j", path, "string"))
+    typed = rows.filter(given.isNull() | number).select(
+        "query_id", F.coalesce(F.nullif(text("$.iri_hash"), F.lit("")), text("$.iri")).alias("iri"), F.try_variant_get("j", "$.adjusted_score", "double").alias("adjusted"), text("$.verdict").alias("verdict"), F.coalesce(text("$.reasoning"), F.lit("")).alias("reasoning")
     )
     known = typed.join(ranked.select("query_id", "iri", "score"), ["query_id", "iri"])
     verdict = F.when(F.col("verdict").isin("confirmed", "boosted", "penalized", "rejected"), F.col("verdict")).otherwise("confirmed")
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("adjusted")))
-    return known.select("query_id", "iri", F.greatest(F.lit(0.0), F.least(F.lit(100.0), enforce_verdict(F.col("score"), clamped, verdict))).alias("score"), verdict.alias("verdict"), "reasoning")
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce("adjusted", "score")))
+    return known.select("query_id", "iri", enforce_verdict(F.col("score"), clamped, verdict).alias("score"), verdict.alias("verdict"), "reasoning")
 
 
 def judged(ranked: DataFrame, answers: DataFrame) -> DataFrame:

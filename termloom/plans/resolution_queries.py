@@ -135,8 +135,8 @@ def label_resolver(spark, d):
 
 
 def subject_suggestions(spark, d):
-    g = table(spark, d, "gold_rows").filter("ancestor_path is not null").groupBy("stratum_id").agg(F.max("leaf").alias("title"), F.array_sort(F.collect_set(F.try_element_at("ancestor_path", F.lit(3)))).alias("headings"))
-    return pipeline.suggest_subjects(g.withColumnRenamed("stratum_id", "key").filter("key is not null"), _catalog(spark, d)).select("key", "place", "iri", "confidence")
+    g = table(spark, d, "gold_rows").filter("item_id is not null").groupBy(F.col("item_id").alias("key")).agg(F.max_by(F.struct(F.coalesce("leaf", F.lit("")).alias("title"), F.col("ancestor_path").alias("headings")), F.struct("loaded_at", F.coalesce("leaf", F.lit("")))).alias("r"))
+    return pipeline.suggest_subjects(g.select("key", "r.title", "r.headings"), _catalog(spark, d)).select("key", "place", "iri", "confidence")
 
 
 def label_index(spark, d):
@@ -255,7 +255,6 @@ kept AS (SELECT * FROM shorted WHERE fs >= 45),
 one AS (SELECT *, row_number() OVER (PARTITION BY query_id, iri ORDER BY fs DESC, stage, pos) AS n, min(stage * 1000000 + pos) OVER (PARTITION BY query_id, iri) AS f FROM kept)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fs DESC, f, iri) AS INTEGER) AS place, iri, fs AS score, path, (pd OR sd) AS gated, pr || '; ' || sr AS gate_reason FROM one WHERE n = 1"""
 
-_STEPS = "".join(f", w{i} AS (SELECT w.iri, coalesce(u.upper_iri, w.here) AS here FROM w{i - 1} w LEFT JOIN up u ON u.here = w.here)" for i in range(1, 13))
 
 SQL = {
     "tokenize_documents": f"SELECT doc_id, CAST(len({_TOK.format(x='text')}) AS INTEGER) AS tokens, CAST(len(list_distinct({_TOK.format(x='text')})) AS INTEGER) AS distinct_tokens, CAST(len({sql_content('text')}) AS INTEGER) AS content_words FROM documents",
@@ -306,8 +305,9 @@ SELECT term, iri, score, surface FROM (SELECT *, row_number() OVER (PARTITION BY
     "label_index": f"WITH {_LABELS} SELECT label_key, iri, kind FROM labels",
     "hierarchy_hops": """WITH e AS (SELECT DISTINCT iri AS c, unnest(parent_iris) AS p FROM concepts), two AS (SELECT DISTINCT a.c, b.p FROM e a JOIN e b ON a.p = b.c), sib AS (SELECT DISTINCT a.c, b.c AS o FROM e a JOIN e b ON a.p = b.p WHERE a.c <> b.c),
 h AS (SELECT c AS node, 'parent' AS relation FROM e UNION ALL SELECT p, 'child' FROM e UNION ALL SELECT c, 'grandparent' FROM two UNION ALL SELECT p, 'grandchild' FROM two UNION ALL SELECT c, 'sibling' FROM sib) SELECT node, relation, count(*) AS others FROM h GROUP BY ALL""",
-    "branch_roots": f"""WITH e AS (SELECT DISTINCT iri AS c, unnest(parent_iris) AS p FROM concepts), up AS (SELECT c AS here, min(p) AS upper_iri FROM e GROUP BY c), w0 AS (SELECT iri, iri AS here FROM concepts){_STEPS}
-SELECT w12.iri, coalesce(r.label, '') AS branch FROM w12 LEFT JOIN (SELECT iri AS here, label FROM concepts WHERE iri NOT IN (SELECT here FROM up)) r USING (here)""",
+    "branch_roots": """WITH RECURSIVE e AS (SELECT DISTINCT iri AS c, unnest(parent_iris) AS p FROM concepts), up AS (SELECT c AS here, min(p) AS nxt FROM e JOIN concepts k ON k.iri = p GROUP BY c),
+w AS (SELECT iri, iri AS here, [iri] AS seen, false AS done FROM concepts UNION ALL SELECT w.iri, nxt, list_append(seen, nxt), list_contains(seen, nxt) FROM w JOIN up USING (here) WHERE NOT done),
+f AS (SELECT iri, arg_max(here, len(seen)) AS here FROM w GROUP BY iri) SELECT f.iri, coalesce(c.label, '') AS branch FROM f LEFT JOIN concepts c ON c.iri = f.here""",
 }
 
 QUERIES = {
