@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,10 @@ from termloom.functions.text import phrase_windows
 from termloom.operators.catalog import ConceptCatalog
 from termloom.operators.scan import ruler_patterns, scan
 from termloom.plans.pipeline import not_blocked, recall
+from termloom.runtime import spread
+
+#: Beginnings of surfaces up to this number are shipped to the tasks to sift windows before the join.
+SHIPPED_HEADS = 100_000
 
 
 def adapt(docs: DataFrame, catalog: ConceptCatalog, blocklist: DataFrame | None = None, floor: float = 45.0, phrases: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,16 +48,27 @@ def suppression(adapted: DataFrame) -> DataFrame:
 def surfaces_in(docs: DataFrame, surfaces: DataFrame, key: str = "doc_id", text: str = "text", surface: str = "surface") -> DataFrame:
     """key, surface: every surface that stands literally in a text, once. Letter case counts, word borders don't.
 
-    Texts and surfaces meet on the surface's first three characters: each text sends its distinct windows of three characters once, and what meets is compared in full.
-    Surfaces of one or two characters are matched through the windows that begin with them. Blank surfaces and nulls find nothing."""
+    Texts and surfaces meet on the surface's first three characters (or all of a shorter one): a task sends, for each text, those of its windows that begin a surface, and what
+    meets is compared in full. Blank surfaces and nulls find nothing."""
     s = surfaces.select(F.col(surface).alias("surface")).filter(F.length("surface") > 0).distinct().withColumn("_h", F.left("surface", F.lit(3)))
-    t = docs.select(F.col(key), F.col(text).alias("_t")).filter(F.length("_t") > 0)
-    n = F.length("_t")
-    windows = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(F.substring("_t", i, F.lit(3)), F.substring("_t", i, F.lit(2)), F.substring("_t", i, F.lit(1))))))
-    heads = s.select("_h").distinct()
-    met = t.select(key, F.explode(windows).alias("_h")).join(F.broadcast(heads) if heads.count() <= 100_000 else heads, "_h", "left_semi")
-    pairs = met.join(s, "_h").select(key, "surface")
-    return pairs.join(t, key).filter(F.contains("_t", F.col("surface"))).select(key, "surface")
+    t = spread(docs.select(F.col(key), F.col(text).alias("_t")).filter(F.length("_t") > 0))
+    listed = [r[0] for r in s.select("_h").distinct().limit(SHIPPED_HEADS + 1).collect()]
+    heads = frozenset(listed) if len(listed) <= SHIPPED_HEADS else None  # with more, all windows are sent
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []
+            found: list[str] = []
+            for i, x in enumerate(b.column(1).to_pylist()):
+                windows = {x[a : a + n] for n in (1, 2, 3) for a in range(len(x))}
+                windows = windows if heads is None else windows & heads
+                rows += [i] * len(windows)
+                found += windows
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=[key, "_h"])
+
+    met = t.mapInArrow(run, f"{key} {kind}, _h string")
+    return met.join(s, "_h").select(key, "surface").join(t, key).filter(F.contains("_t", F.col("surface"))).select(key, "surface")
 
 
 def assert_no_surfaces(docs: DataFrame, surfaces: DataFrame, what: str = "output", **columns) -> int:

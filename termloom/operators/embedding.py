@@ -38,7 +38,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = QU
     out = None
     for p in range(parts):
         q = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
-        rows = [r for r in q.select("query_id", column).limit(2 * block).collect() if r[1] is not None]
+        rows = [r for r in q.select("query_id", column).limit(2 * block + 65).collect() if r[1] is not None]
+        if len(rows) > 2 * block + 64:
+            raise ValueError("a block of queries is too large")
         if not rows:
             continue
         ids = [r[0] for r in rows]
@@ -53,6 +55,23 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = QU
     return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", key, "place", "cosine")
 
 
+def score_candidates(asked: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """query_id, key, cosine of given candidates: asked has query_id, embedding and key, vectors has key and vector. Unknown candidates have no row."""
+    j = asked.join(vectors, key).filter(F.col("embedding").isNotNull() & F.col("vector").isNotNull())
+    return j.select("query_id", key, cosine(F.col("embedding"), F.col("vector")).alias("cosine"))
+
+
+def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with cosine: that of the hashed embeddings of two texts (columns a and b), 0 where one has no token."""
+    texts = pairs.select(F.col(a).alias("_t")).unionByName(pairs.select(F.col(b).alias("_t"))).filter("_t is not null").distinct()
+    h = hashing_buckets(texts, "_t", F.col("_t"))
+    keyed = pairs.select(a, b).distinct()
+    left = keyed.join(h.select(F.col("_t").alias(a), "bucket", F.col("weight").alias("_x")), a)
+    right = left.join(h.select(F.col("_t").alias(b), "bucket", F.col("weight").alias("_y")), [b, "bucket"])
+    sums = right.groupBy(a, b).agg(F.sum(F.col("_x") * F.col("_y")).alias("cosine"))
+    return pairs.join(sums, [a, b], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+
+
 def _scan(ids: list, m: np.ndarray, k: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

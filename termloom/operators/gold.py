@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.normalize import compound, is_non_referential, label_key, plural_variants
+from termloom.functions.normalize import compound, fold_spaces, is_non_referential, is_relational, label_key, normal_iri, plural_variants, suspect
 
 
 def forward_fill(rows: DataFrame, sheet: str, order: str, level1: str, level2: str, leaf: str) -> DataFrame:
@@ -76,6 +76,45 @@ def resolve_values(values: DataFrame, concepts: DataFrame, with_compounds: bool
     return j.select("value", "r.iri", F.coalesce("r.rung", F.lit("unresolved")).alias("rung"), F.coalesce("r.ambiguous", F.lit(False)).alias("ambiguous"), F.coalesce("r.parse", F.lit("unresolved")).alias("parse"))
 
 
+def resolve_cells(values: DataFrame, concepts: DataFrame, base: str, legacy: list[str], prefixes: list[str], with_compounds: bool = True) -> DataFrame:
+    """value, iri, rung, parse, ambiguous, suspect of every distinct cell value: relations and placeholders are left out (the rung says so), a trailing question mark is taken off
+    and noted, an IRI is brought into the base namespace and looked up ('iri_exact' or 'legacy_iri', 'unresolved' where the catalog doesn't have it), and anything else goes down the
+    ladder of resolve_values."""
+    v = values.select("value").filter("value is not null").distinct()
+    x = F.col("value")
+    out = F.when(is_relational(x, base, legacy, prefixes), "excluded_relational").when(is_non_referential(x), "excluded_non_referential_value")
+    s = v.select("value", out.alias("out"), suspect(x).alias("s")).select("value", "out", "s.text", "s.marked")
+    s = s.withColumn("full", F.when(F.col("out").isNull(), normal_iri(F.col("text"), base, legacy, prefixes))).withColumn("own", F.startswith(fold_spaces(F.col("text")), F.lit(base)))
+    known = concepts.select(F.col("iri").alias("full"), F.lit(True).alias("known")).distinct()
+    ladder = resolve_values(s.filter("out is null and full is null").select(F.col("text").alias("value")), concepts, with_compounds).withColumnsRenamed({"value": "text", "rung": "_rung", "parse": "_parse", "ambiguous": "_amb", "iri": "_iri"})
+    j = s.join(known, "full", "left").join(ladder, "text", "left")
+    is_iri = F.col("full").isNotNull()
+    rung = F.when(F.col("out").isNotNull(), F.col("out")).when(is_iri & F.col("known").isNull(), "unresolved").when(is_iri & F.col("own"), "iri_exact").when(is_iri, "legacy_iri").otherwise(F.col("_rung"))
+    open_ = F.col("out").isNull()
+    return j.select(
+        "value", F.when(open_ & is_iri & F.col("known").isNotNull(), F.col("full")).when(open_ & ~is_iri, F.col("_iri")).alias("iri"), rung.alias("rung"), F.when(open_, F.when(is_iri, "iri").otherwise(F.col("_parse"))).alias("parse"),
+        (open_ & ~is_iri & F.coalesce("_amb", F.lit(False))).alias("ambiguous"), (open_ & F.col("marked")).alias("suspect"),
+    )
+
+
+def resolve_items(values: DataFrame, cells: DataFrame) -> DataFrame:
+    """item_id, iris, rules, blank: the concepts of all cells of an item (values: item_id, value; cells as resolve_cells gives them), and what was noted on the way: cells left
+    out, unresolved, ambiguous or suspect. An item without concepts is blank."""
+    x = values.join(cells, "value", "left")
+    rules = F.array_compact(F.array(F.when(F.col("rung").startswith("excluded") | (F.col("rung") == "unresolved"), F.col("rung")), F.when(F.col("ambiguous"), F.lit("ambiguous_label")), F.when(F.col("suspect"), F.lit("suspect_question_mark"))))
+    none = F.array().cast("array<string>")
+    g = x.groupBy("item_id").agg(F.array_sort(F.collect_set("iri")).alias("iris"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(rules, none))))).alias("rules"))
+    return g.withColumn("blank", F.size("iris") == 0)
+
+
+def split_summary(items: DataFrame, splits: DataFrame) -> DataFrame:
+    """stratum_id, items, tune, frozen, excluded, signal, frozen_share: counts of a split by stratum, safe to publish."""
+    j = splits.join(items.select("item_id", "stratum_id"), "item_id")
+    n = {s: F.count_if(F.col("slice") == s) for s in ("tune", "frozen", "excluded", "signal")}
+    share = F.round(F.coalesce(F.try_divide(F.col("frozen").cast("double"), F.col("items") - F.col("signal")), F.lit(0.0)), 4)
+    return j.groupBy("stratum_id").agg(F.count(F.lit(1)).alias("items"), *[c.alias(s) for s, c in n.items()]).withColumn("frozen_share", share)
+
+
 def merge_cells(cells: DataFrame) -> DataFrame:
     """firm, key, text, answers, flags, cells, inconsistent: cells (firm, text, answers, flags, ord) with the same normal text become one item: all answers
     and flags, the first text; inconsistent where two cells give different non-empty answers. Cells that name nothing are left out."""

@@ -57,7 +57,7 @@ def containment(labels: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame
     Containment at word borders implies that the first word of the shorter is a word of the longer, so both sides meet on that word: names and needles send their first
     word and all their words, and no pair is lost."""
     t = labels.select("label").filter(strip(F.col("label")) != "").distinct()
-    needles = F.array_distinct(F.filter(F.transform(F.concat(F.array(F.col("label")), plural_variants(F.col("label"))), lambda x: F.lower(x)), lambda x: x != ""))
+    needles = F.transform(plural_variants(F.col("label")), lambda x: F.lower(x))
     n = t.select("label", F.explode(F.array_union(F.array(label_key(F.col("label"))), needles)).alias("needle")).filter("needle <> ''").distinct()
     names = F.array_compact(F.concat(F.array("preferred_label", "label"), F.coalesce("alternative_labels", F.array().cast(NONE))))
     keys = concepts.select("iri", F.explode(F.array_distinct(names)).alias("name")).select("iri", label_key(F.col("name")).alias("key")).filter("key <> ''").distinct()

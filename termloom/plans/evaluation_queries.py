@@ -47,12 +47,16 @@ def near_misses(spark, d):
     return n.groupBy("bucket", "cluster").agg(F.count(F.lit(1)).alias("answers"))
 
 
-def miss_clusters(spark, d):
+def _misses(spark, d):
     s, r = _scores(spark, d), _ranked(spark, d)
     c = table(spark, d, "concepts")
     missing = _gold(spark, d).select("item_id", "leaf", F.explode("gold").alias("iri")).join(c.select("iri", "label"), "iri")
     signals = missing.select("item_id", "iri", F.lit(False).alias("reachable"), (F.lower("leaf") == F.lower("label")).alias("exact"), F.lit(False).alias("homonym"), jaccard(content_words(F.col("leaf")), content_words(F.col("label"))).alias("jaccard"))
-    m = evaluate.miss_clusters(s, r, signals, ConceptCatalog(c).hops())
+    return evaluate.miss_clusters(s, r, signals, ConceptCatalog(c).hops())
+
+
+def miss_clusters(spark, d):
+    m = _misses(spark, d)
     return m.groupBy("cluster", "reachability").agg(F.count(F.lit(1)).alias("misses"))
 
 

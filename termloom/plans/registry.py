@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.plans import evaluation_queries, hierarchy_queries, resolution_queries
+from termloom.plans import evaluation_queries, hierarchy_queries, lane_queries, resolution_queries
 
-_MODULES = [hierarchy_queries, resolution_queries, evaluation_queries]
+_MODULES = [hierarchy_queries, resolution_queries, evaluation_queries, lane_queries]
 
 
 def queries() -> dict:
