@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.sources import files
+
 SCHEMA = "id string, job_id string, annotation_id string, rating string, stage string, iri string, label string, comment string, created_at string, seq long, deleted boolean"
 
 
@@ -15,7 +15,7 @@ class FeedbackStore:
         self.spark, self.path = spark, path
 
     def _log(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path) if Path(self.path).exists() else self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(self.path) if files.exists(self.spark, self.path) else self.spark.createDataFrame([], SCHEMA)
 
     def save(self, entries: DataFrame) -> None:
         """Appends entries; ids must be plain names."""

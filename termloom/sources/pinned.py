@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.sources import files
+
 
 def content_hash(df: DataFrame) -> str:
     """Hash of a table's rows whatever their order, the number of partitions and files: sha256 per row, and the sums of its parts over all rows."""
@@ -26,7 +27,7 @@ def header_signature(header: list[str | None]) -> str:
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, pin: str | None = None, unique: str | None = None) -> DataFrame:
     """JSON lines with a fixed schema. A content hash that differs from the pin or a repeated key raises; a missing path is an empty table only without a pin."""
-    if pin is None and "://" not in path and not Path(path).exists():
+    if pin is None and not files.exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.schema(schema).json(path)
     if pin is not None and (got := content_hash(df)) != pin:
@@ -45,8 +46,9 @@ def write_version(df: DataFrame, folder: str, name: str, version: int) -> dict:
 
 def latest_version(folder: str, name: str) -> str | None:
     """Path of the version with the greatest number."""
-    found = [(int(m.group(1)), p) for p in Path(folder).glob(f"{name}-v*") if (m := re.fullmatch(rf"{re.escape(name)}-v(\d+)", p.name))]
-    return str(max(found)[1]) if found else None
+    spark = SparkSession.getActiveSession()
+    found = [(int(m.group(1)), n) for n in files.names(spark, folder) if (m := re.fullmatch(rf"{re.escape(name)}-v(\d+)", n))]
+    return f"{folder}/{max(found)[1]}" if found else None
 
 
 def canonical_json(payload: dict) -> str:
@@ -56,7 +58,7 @@ def canonical_json(payload: dict) -> str:
 def write_summary(payload: dict, path: str) -> str:
     """Canonical JSON of an aggregate; returns its sha256."""
     text = canonical_json(payload)
-    Path(path).write_text(text + "\n", encoding="utf-8")
+    files.write_text(SparkSession.getActiveSession(), path, text + "\n")
     return hashlib.sha256(text.encode()).hexdigest()
 
 
