@@ -101,9 +101,9 @@ def expand(nodes: DataFrame, tail_nodes: int = TAIL_NODES, with_keys: bool = Tru
     reverse order each peeled level then takes path, depth and root from its parents. What peeling leaves over lies on a
     cycle. An empty table gives an empty result; a node that is its own parent is a cycle."""
     spark = nodes.sparkSession
-    base = nodes.select("key", "label", "parent")
+    base = cut(nodes.select("key", "label", "parent"))  # read by the counts, the join and the rounds
     known = base.select(F.col("key").alias("parent"), F.lit(True).alias("has_parent"))
-    children = cut(base.filter("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("pending")))
+    children = (base.filter("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("pending")))
     hot = hot_keys(children, "key", "pending")
     counted = base.join(children, "key", "left").select("key", "label", "parent", F.coalesce("pending", F.lit(0)).cast("long").alias("pending"), F.lit(1).cast("long").alias("size"))
     # roots have no parent to look for; children of a parent with a large share of all nodes are spread
