@@ -38,22 +38,19 @@ def hash_to_min(edges: DataFrame, rounds: int = 60) -> DataFrame:
     pairs = pairs.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("member")))
     pairs = pairs.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("member"))).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("member")))
     pairs = cut(pairs.distinct())
+    least = cut(pairs.groupBy("node").agg(F.min("member").alias("low"), F.count(F.lit(1)).alias("n")))
     for _ in range(rounds):
-        least = pairs.groupBy("node").agg(F.min("member").alias("low"), F.count(F.lit(1)).alias("n"))
-        least = cut(least)
         hot = hot_keys(least, "node", "n")
         with_low = salted_join(pairs, least.select("node", "low"), "node", hot, F.col("member"))
         sent = with_low.select(F.explode(F.array(F.struct(F.col("low").alias("node"), "member"), F.struct(F.col("member").alias("node"), F.col("low").alias("member")))).alias("m")).select("m.node", "m.member")
-        after = cut(sent.distinct())
+        pairs = cut(sent.distinct())
+        least = cut(pairs.groupBy("node").agg(F.min("member").alias("low"), F.count(F.lit(1)).alias("n")))  # of this round, and where the next begins
         # stable: every node that isn't a minimum holds just one member, which is a minimum itself
-        state = after.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("member").alias("low"))
-        open_nodes = state.filter("low <> node and n > 1").limit(1).count()
-        pairs = after
-        if not open_nodes and not _moved(state):
+        if not least.filter("low <> node and n > 1").limit(1).count() and not _moved(least):
             break
     else:
         raise RuntimeError("hash_to_min: not stable after the rounds allowed")
-    return pairs.groupBy("node").agg(F.min("member").alias("component"))
+    return least.select("node", F.col("low").alias("component"))
 
 
 def _moved(state: DataFrame) -> bool:
