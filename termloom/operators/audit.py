@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.functions.ids import rejection_key
+
 NONE = "array<string>"
 
 
@@ -37,9 +39,12 @@ def fold_votes(votes: DataFrame, floor: float) -> DataFrame:
     return j.select("item_id", F.when(whole, F.col("agreed")).otherwise(F.array().cast(NONE)).alias("agreed"), "singletons", F.when(whole & (F.size("agreed") > 0), "deterministic").when(whole, "needs_review").otherwise("incomplete").alias("status"))
 
 
-def best_floor(sample: DataFrame) -> DataFrame:
-    """floor, agreement: the confidence from which on accepting agrees most with the rulings (confidence, accepted); ties to the lower one. Running sums over
+def best_floor(sample: DataFrame, default: float = 0.7) -> DataFrame:
+    """floor, agreement: the confidence from which on accepting agrees most with the rulings (confidence, accepted); ties to the lower one; an
+    empty sample gives ``default``, a confidence beyond 0..1 raises. Running sums over
     the distinct confidences take the place of comparing every row with every threshold."""
+    if sample.filter("confidence < 0 or confidence > 1").limit(1).count():
+        raise ValueError("a confidence is outside 0..1")
     g = sample.filter("confidence is not null").groupBy("confidence").agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
     ends = g.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "confidence double, yes long, no long")
     g = g.unionByName(ends).groupBy("confidence").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
@@ -47,7 +52,8 @@ def best_floor(sample: DataFrame) -> DataFrame:
     above = w.rowsBetween(0, Window.unboundedFollowing)
     below = w.rowsBetween(Window.unboundedPreceding, -1)
     s = g.withColumn("agreement", F.sum("yes").over(above) + F.coalesce(F.sum("no").over(below), F.lit(0)))
-    return s.orderBy(F.col("agreement").desc(), "confidence").limit(1).select(F.col("confidence").alias("floor"), "agreement")
+    seen = F.sum(F.col("yes") + F.col("no")).over(Window.partitionBy(F.lit(0)))
+    return s.withColumn("_seen", seen).orderBy(F.col("agreement").desc(), "confidence").limit(1).select(F.when(F.col("_seen") == 0, F.lit(default)).otherwise(F.col("confidence")).alias("floor"), "agreement")
 
 
 def consolidate(claims: DataFrame) -> DataFrame:
@@ -95,6 +101,62 @@ def run_status(log: DataFrame, part: list[str]) -> DataFrame:
     return last.groupBy(*part).agg(F.count(F.lit(1)).alias("attempts"), *[F.count_if(F.col("decision") == d).alias(d) for d in ("keep", "revert", "park")]).withColumn("check_in", F.col("attempts") % 3 == 0)
 
 
+def rejection_memory(decisions: DataFrame, catalog_hash: str) -> DataFrame:
+    """rejection_key of proposals that were rejected under this state of the catalog: decisions (item_id, action, iris, catalog_hash). Another catalog releases them all."""
+    d = decisions.filter((F.col("action") == "reject") & (F.size("iris") > 0) & (F.col("catalog_hash") == catalog_hash))
+    return d.select(rejection_key(F.col("item_id"), F.col("iris")).alias("rejection_key")).distinct()
+
+
+def suppress(rows: DataFrame, memory: DataFrame) -> DataFrame:
+    """Rows (item_id, iris) without those whose very proposal was rejected; rows that propose nothing stay."""
+    key = F.when(F.size("iris") > 0, rejection_key(F.col("item_id"), F.col("iris")))
+    return rows.withColumn("_k", key).join(memory.select(F.col("rejection_key").alias("_k")), "_k", "left_anti").drop("_k")
+
+
+def outcome_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """test, before, after, blocking: tests whose outcome changed between two runs (test, outcome); what passed and no longer does blocks, anything else is advice."""
+    b, a = before.select("test", F.col("outcome").alias("before")), after.select("test", F.col("outcome").alias("after"))
+    j = b.join(a, "test", "full_outer").filter(~F.col("before").eqNullSafe(F.col("after")))
+    return j.withColumn("blocking", F.coalesce((F.col("before") == "passed") & F.col("after").isNotNull() & (F.col("after") != "passed"), F.lit(False)))
+
+
+def vote_reasons(votes: DataFrame, floor: float) -> DataFrame:
+    """item_id, reason: why the graders of an item don't agree, the first that applies: fewer than three graders, an ambiguous label, an unresolved one, no proposal at all, a concept of
+    two graders whose confidence stays below the floor, or different sets. votes: item_id, grader_id, iri (null where a label names none), issue, confidence."""
+    v = votes.groupBy("item_id", "grader_id", "iri").agg(F.max("confidence").alias("c"), F.max(F.col("issue") == "ambiguous_label").alias("a"), F.max(F.col("issue") == "unresolved_label").alias("u"))
+    per = v.filter("iri is not null").groupBy("item_id", "iri").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") >= floor).alias("above"))
+    low = per.groupBy("item_id").agg(F.max((F.col("n") >= 2) & (F.col("above") < 2)).alias("low"))
+    g = v.groupBy("item_id").agg(F.count_distinct("grader_id").alias("graders"), F.max("a").alias("a"), F.max("u").alias("u"), F.count("iri").alias("iris")).join(low, "item_id", "left")
+    no = F.lit(False)
+    reason = (
+        F.when(F.col("graders") < 3, "missing_votes").when(F.coalesce("a", no), "ambiguous_label").when(F.coalesce("u", no), "unresolved_label").when(F.col("iris") == 0, "empty_proposal").when(F.coalesce("low", no), "sub_floor_confidence").otherwise("set_mismatch")
+    )
+    return g.select("item_id", reason.alias("reason"))
+
+
+def sample_for_audit(agreed: DataFrame, size: int = 25, seed: str = "1") -> DataFrame:
+    """item_id: a fixed sample of the machine-agreed items, in hashed order."""
+    if size < 0:
+        raise ValueError("a sample has no negative size")
+    return agreed.select("item_id").distinct().withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("item_id").cast("string")))).orderBy("_h", "item_id").limit(size).drop("_h")
+
+
+def stack_scores(items: DataFrame, predictions: DataFrame) -> DataFrame:
+    """One row of strict set measures of a foreign system: items (item_id, gold; an empty gold means that nothing is to be found), predictions (item_id, iris). An item without a
+    prediction row raises: silence isn't an empty answer."""
+    none = F.array().cast(NONE)
+    j = items.select("item_id", F.array_distinct(F.coalesce("gold", none)).alias("g")).join(predictions.select("item_id", F.array_distinct(F.coalesce("iris", none)).alias("p"), F.lit(True).alias("_there")), "item_id", "left")
+    if j.filter("_there is null").limit(1).count():
+        raise ValueError("the predictions leave out items")
+    some = F.size("g") > 0
+    tp = F.size(F.array_intersect("g", "p"))
+    total = j.agg(
+        F.count_if(some).alias("items"), F.sum(F.when(some, tp)).alias("tp"), F.sum(F.when(some, F.size("p") - tp)).alias("fp"), F.sum(F.when(some, F.size("g") - tp)).alias("fn"), F.count_if(some & (tp == F.size("g")) & (tp == F.size("p"))).alias("exact_items"),
+        F.count_if(some & (F.size("p") == 0)).alias("empty_items"), F.count_if(~some).alias("nomatch_items"), F.count_if(~some & (F.size("p") > 0)).alias("nomatch_false"),
+    )
+    return total.withColumn("nomatch_share", F.round(F.coalesce(F.try_divide(F.col("nomatch_false").cast("double"), F.col("nomatch_items")), F.lit(0.0)), 6))
+
+
 def batches(rows: DataFrame, order: list[Column], size: int = 25, part: list[str] | None = None) -> DataFrame:
     """Adds batch: rows in sittings of ``size``, from 0."""
     w = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(*order)

@@ -57,6 +57,13 @@ class ConceptCatalog:
             out = df if out is None else out.unionByName(df)
         return out
 
+    def lemmas(self, lemmatize, denied: list[str] = ()) -> DataFrame:
+        """label_key, lemma of labels of one word with more than three letters: kept where the lemma differs, has more than two letters, and neither is denied. ``lemmatize`` is a
+        function from a Column to a Column."""
+        k = self.labels.filter(F.col("kind").isin("preferred", "alternative") & ~F.contains("label_key", F.lit(" ")) & (F.length("label_key") > 3)).select("label_key", lemmatize(F.col("label_key")).alias("lemma"))
+        kept = k.filter(F.col("lemma").isNotNull() & (F.col("lemma") != F.col("label_key")) & (F.length("lemma") > 2))
+        return kept.filter(~F.col("label_key").isin(*denied) & ~F.col("lemma").isin(*denied)) if denied else kept
+
     def with_lemmas(self, lemmas: DataFrame) -> DataFrame:
         """The label index with lemma keys (label_key, lemma) added; an equal or better key is never overwritten."""
         old = self.labels.withColumn("rank", kind_rank(F.col("kind")))

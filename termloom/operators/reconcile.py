@@ -67,7 +67,41 @@ def reconcile(dictionary: DataFrame, model: DataFrame, scope: list[str] | None =
     )
 
 
-def settle_conflicts(pairs: DataFrame) -> DataFrame:
+def reconcile_with_triage(dictionary: DataFrame, model: DataFrame, similarity, scope: list[str] | None = None) -> DataFrame:
+    """As reconcile, but two rows of one text with different concepts are a conflict that similarity decides (settle_conflicts). ``similarity`` takes a table and the names of two text
+    columns and adds cosine.
+
+    What isn't the same on both sides is paired text by text in order: the first open row of one side with the first of the other, and so on, as a serial matcher would.
+    A pair with a concept on one side only agrees; one with two concepts is a conflict."""
+    s = scope or []
+    d, m = _side(dictionary, s, "d"), _side(model, s, "m")
+    k, t = [*s, "key", "iri0"], [*s, "key"]
+    full = d.join(m, k, "full_outer")
+    both = full.filter("d is not null and m is not null").select(*t, "d", "m")
+    place = lambda pos: F.row_number().over(Window.partitionBy(*t).orderBy(pos, "iri0"))
+    left = full.filter("m is null").select(*t, "iri0", "d", "d_pos").withColumn("_n", place("d_pos")).drop("iri0")
+    right = full.filter("d is null").select(*t, "iri0", "m", "m_pos").withColumn("_n", place("m_pos")).drop("iri0")
+    paired = left.join(right, [*t, "_n"], "full_outer")
+    open_ = lambda side: F.coalesce(F.col(f"{side}.iri"), F.lit("")) == ""
+    met = paired.filter("d is not null and m is not null")
+    agreed = boosted(F.col("d.confidence"), F.col("m.confidence"))
+    col = lambda row: F.coalesce(F.col(f"{row}.iri"), F.lit(""))
+    shape = lambda df, category, iri, confidence, source: df.select(*s, F.lit(category).alias("category"), "key", iri.alias("iri"), confidence.alias("confidence"), F.lit(source).alias("source"))
+    alike = met.filter(open_("d") | open_("m"))
+    clash = met.filter(~open_("d") & ~open_("m"))
+    name = lambda row: F.coalesce(F.nullif(F.col(f"{row}.label"), F.lit("")), F.col(f"{row}.text"))
+    near = similarity(clash.withColumns({"_dl": name("d"), "_ml": name("m")}), "key", "_dl").withColumnRenamed("cosine", "d_similarity")
+    near = similarity(near, "key", "_ml").withColumnRenamed("cosine", "m_similarity")
+    return (
+        shape(both, "both_agree", col("m"), agreed, "reconciled")
+        .unionByName(shape(alike, "both_agree", F.when(open_("d"), col("m")).otherwise(col("d")), agreed, "reconciled"))
+        .unionByName(shape(paired.filter((F.col("m").isNull()) & (F.col("d.confidence") >= DICTIONARY_ALONE)), "dictionary_only", col("d"), F.col("d.confidence"), "dictionary"))
+        .unionByName(shape(paired.filter(F.col("d").isNull()), "model_only", col("m"), F.col("m.confidence"), "model"))
+        .unionByName(shape(settle_conflicts(near, s), "conflict_resolved", F.col("iri"), F.col("confidence"), "reconciled"))
+    )
+
+
+def settle_conflicts(pairs: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Rows of pairs whose sides name different concepts for one text (key, d and m structs, d_similarity, m_similarity): the more similar side wins
     above 0.85 (the dictionary on a tie) and takes the similarity as confidence if larger; else the larger definition overlap; else both stay."""
     dov, mov = definition_overlap(F.col("key"), F.col("d.definition")), definition_overlap(F.col("key"), F.col("m.definition"))
@@ -77,4 +111,5 @@ def settle_conflicts(pairs: DataFrame) -> DataFrame:
     keep_m = F.when(sure, ds < ms).when(dov > mov, False).when(mov > dov, True).otherwise(True)
     side = lambda n, sim: F.struct(F.col(f"{n}.iri").alias("iri"), F.when(sure, F.greatest(F.col(f"{n}.confidence"), sim)).otherwise(F.col(f"{n}.confidence")).alias("confidence"))
     rows = F.filter(F.array(F.when(keep_d, side("d", ds)), F.when(keep_m, side("m", ms))), lambda x: x.isNotNull())
-    return pairs.select("key", F.explode(rows).alias("r")).select("key", "r.iri", "r.confidence", F.lit("conflict_resolved").alias("category"))
+    s = scope or []
+    return pairs.select(*s, "key", F.explode(rows).alias("r")).select(*s, "key", "r.iri", "r.confidence", F.lit("conflict_resolved").alias("category"))

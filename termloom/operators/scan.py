@@ -115,6 +115,22 @@ def without_overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return grouped.select(key, F.explode(kept).alias("_x")).select(key, "_x.start", "_x.end", *[f"_x.{c}" for c in rest])
 
 
+def same_case(spans: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans of a scan whose stretch of the text is the pattern letter by letter, capitals included."""
+    there = F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("pattern")
+    return spans.join(docs.select(key, F.col(text).alias("_t")), key).filter(there).drop("_t")
+
+
+def pattern_id(iri: Column, kind: Column) -> Column:
+    return F.concat_ws("|", iri, kind)
+
+
+def pattern_parts(ident: Column) -> Column:
+    """struct(iri, kind) of a pattern id; 'unknown' where it names no kind."""
+    has = F.contains(ident, F.lit("|"))
+    return F.struct(F.when(has, F.regexp_extract(ident, r"^(.*)\|[^|]*$", 1)).otherwise(ident).alias("iri"), F.when(has, F.substring_index(ident, "|", -1)).otherwise("unknown").alias("kind"))
+
+
 def ruler_patterns(labels: DataFrame) -> DataFrame:
     """Patterns of a label index: keys of three characters or more that aren't stopwords."""
     return labels.filter((F.length("label_key") >= LEAST_PATTERN) & ~F.lower("label_key").isin(RULER_STOPWORDS)).select(F.col("label_key").alias("pattern"), "iri", "kind")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import ids
-from termloom.operators import documents, evaluate, gold, prior, proposals
+from termloom.operators import audit, documents, evaluate, gold, prior, proposals
 from termloom.operators.catalog import ConceptCatalog
 from termloom.plans import evaluation_queries as E
 from termloom.plans import pipeline
@@ -103,8 +103,6 @@ def scan_recall(spark, d):
 
 
 def variant_replay(spark, d):
-    from termloom.operators import audit
-
     answers = evaluate.item_scores(E._gold(spark, d), E._ranked(spark, d), E.THRESHOLD, E.K).select("item_id", "answers")
     sets = audit.variant_sets(table(spark, d, "gold_values").filter("item_id is not null"))
     return evaluate.replay(answers, sets, ["variant"])
@@ -168,6 +166,77 @@ def strata_with_gold(spark, d):
     return _rows(spark, d).filter("not coalesce(blank, false) and size(gold_iris) > 0").select("stratum_id").distinct()
 
 
+def suppressed_proposals(spark, d):
+    """Proposals of concepts per value; those that score below 50 count as rejected, and values that propose just the same set again are held back."""
+    p = table(spark, d, "label_proposals").filter("iri is not null and value_id is not null")
+    sets = p.groupBy(F.col("value_id").cast("string").alias("item_id"), "method").agg(F.array_sort(F.collect_set("iri")).alias("iris"), F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
+    decisions = sets.filter("score < 50").select("item_id", F.lit("reject").alias("action"), "iris", F.lit("h").alias("catalog_hash"))
+    return audit.suppress(sets.select("item_id", "method", "iris"), audit.rejection_memory(decisions, "h")).select("item_id", "method", F.array_join("iris", "|").alias("iris"))
+
+
+def outcome_diff(spark, d):
+    e = table(spark, d, "events")
+    run = lambda odd: e.filter(F.col("event_id") % 2 == odd).groupBy(F.col("user_id").cast("string").alias("test")).agg(F.max_by("event_type", "event_id").alias("t")).select("test", F.when(F.col("t").isin("view", "click"), "passed").when(F.col("t") == "error", "error").otherwise("failed").alias("outcome"))
+    return audit.outcome_diff(run(0), run(1))
+
+
+def vote_reasons(spark, d):
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    v = e.select((F.col("user_id") % 50).alias("item_id"), F.col("event_type").alias("grader_id"), F.when(k > 10, k.cast("string")).alias("iri"), F.when(k == 1, "ambiguous_label").when(k == 2, "unresolved_label").alias("issue"), (F.col("event_id") % 10 / 10.0).alias("confidence"))
+    return audit.vote_reasons(v.filter(F.col("item_id") * 7 % 5 + F.length("grader_id") < 10), 0.5)
+
+
+def audit_sample(spark, d):
+    return audit.sample_for_audit(E._gold(spark, d).select("item_id"), 25, "7")
+
+
+def stack_scores(spark, d):
+    answers = evaluate.item_scores(E._gold(spark, d), E._ranked(spark, d), E.THRESHOLD, E.K)
+    blank = table(spark, d, "gold_rows").filter("blank and item_id is not null").select("item_id").distinct().join(answers.select("item_id"), "item_id", "left_anti").select("item_id", F.array().cast("array<string>").alias("gold"))
+    top = E._ranked(spark, d).filter("rank <= 1").select("item_id", F.array("iri").alias("iris"))
+    items = answers.select("item_id", "gold").unionByName(blank)
+    return audit.stack_scores(items, items.select("item_id").join(top, "item_id", "left"))
+
+
+def label_lemmas(spark, d):
+    lemma = lambda w: F.when(F.endswith(w, F.lit("ies")), F.concat(F.expr("left(label_key, length(label_key) - 3)"), F.lit("y"))).when(F.endswith(w, F.lit("s")) & ~F.endswith(w, F.lit("ss")), F.expr("left(label_key, length(label_key) - 1)")).otherwise(w)
+    words = table(spark, d, "concepts").select("iri", F.element_at(F.split("label", " "), -1).alias("label"), F.lit(None).cast("string").alias("definition"), F.array().cast("array<string>").alias("alternative_labels"), F.lit(None).cast("string").alias("preferred_label"), "branch", "parent_iris")
+    return ConceptCatalog(words).lemmas(lemma, ["claims", "notice"])
+
+
+def exact_case_scan(spark, d):
+    from termloom.operators import scan
+
+    docs = table(spark, d, "documents")
+    spans = scan.scan(docs, table(spark, d, "concepts").select(F.col("label").alias("pattern"), "iri"))
+    return scan.same_case(spans, docs).select("doc_id", "start", "end", scan.pattern_id(F.col("iri"), F.lit("preferred")).alias("pattern_id"))
+
+
+def nonlexical_share(spark, d):
+    """How many gold concepts of the catalog an item's text doesn't name."""
+    g = table(spark, d, "gold_rows").filter("item_id is not null and input_text is not null").select("item_id", "input_text", F.explode("gold_iris").alias("iri")).distinct().join(table(spark, d, "concepts").select("iri", "label"), "iri")
+    return g.agg(F.count(F.lit(1)).alias("concepts"), F.count_if(~F.contains("input_text", F.col("label"))).alias("not_named"))
+
+
+def reconcile_triage(spark, d):
+    from termloom.operators import embedding, reconcile
+
+    v = table(spark, d, "gold_values").filter("raw is not null and trim(raw) <> ''").join(table(spark, d, "concepts").select("iri", "label", "definition"), "iri", "left")
+    v = v.select(F.col("raw").alias("text"), "iri", "label", "definition", F.when(F.col("suspect"), 0.55).otherwise(0.72).alias("confidence"), F.col("value_id").alias("ord"))
+    p = table(spark, d, "label_proposals").filter("label is not null and trim(label) <> ''").withColumnRenamed("label", "raw").join(table(spark, d, "concepts").select("iri", "label", "definition"), "iri", "left")
+    p = p.select(F.col("raw").alias("text"), "iri", "label", "definition", (F.coalesce("score", F.lit(50.0)) / 100.0).alias("confidence"), F.col("proposal_id").alias("ord"))
+    return reconcile.reconcile_with_triage(v, p, embedding.similarity)
+
+
+def match_full(spark, d):
+    """The whole pipeline over every typed label: dictionary spans, label search, recall, parts of compound terms, section gate, blocklist, gates, floor."""
+    c = table(spark, d, "concepts")
+    q = table(spark, d, "label_proposals").filter(F.regexp_replace("label", r"[\s\p{Z}]", "") != "").groupBy(F.col("label").alias("term")).agg(F.min("method").alias("section")).withColumn("query_id", F.col("term"))
+    block = c.filter("branch = 'Forum'").select(F.lower("label").alias("surface_term"), F.col("iri").alias("blocked_iri"), F.lit(None).cast("string").alias("domain"))
+    return pipeline.match(q, ConceptCatalog(c), blocklist=block, with_recall=True).select("query_id", "place", "iri", "score", "path", "gated")
+
+
 # -- SQL --------------------------------------------------------------------------------------------------------------------
 
 _JL = "'[' || array_to_string(list_transform(coalesce({x}, []), lambda p: to_json(coalesce(p, ''))), ', ') || ']'"
@@ -251,6 +320,22 @@ SELECT item_id AS query_id, '{pipeline.RERANK_SYSTEM.replace("'", "''")}' || chr
     "split_summary": f"""WITH sp AS (SELECT * FROM ({E.SQL['split_frozen_tune']})), l AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY loaded_at DESC, coalesce(array_to_string(ancestor_path, '|'), '') DESC, coalesce(stratum_id, '') DESC) AS n FROM gold_rows WHERE NOT blank),
 i AS (SELECT item_id, upper(trim(coalesce(stratum_id, ''))) AS stratum_id FROM l WHERE n = 1)
 SELECT stratum_id, count(*) AS items, count_if(slice = 'tune') AS tune, count_if(slice = 'frozen') AS frozen, count_if(slice = 'excluded') AS excluded, count_if(slice = 'signal') AS signal, round(coalesce(count_if(slice = 'frozen')::DOUBLE / nullif(count_if(slice <> 'signal'), 0), 0), 4) AS frozen_share FROM sp JOIN i USING (item_id) GROUP BY stratum_id""",
+    "suppressed_proposals": """WITH s AS (SELECT CAST(value_id AS VARCHAR) AS item_id, method, list_sort(list(DISTINCT iri)) AS iris, max(coalesce(score, 0)) AS score FROM label_proposals WHERE iri IS NOT NULL AND value_id IS NOT NULL GROUP BY ALL)
+SELECT item_id, method, array_to_string(iris, '|') AS iris FROM s WHERE NOT EXISTS (SELECT 1 FROM s r WHERE r.score < 50 AND r.item_id = s.item_id AND r.iris = s.iris)""",
+    "outcome_diff": """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS test, event_id % 2 AS odd, arg_max(event_type, event_id) AS t FROM events GROUP BY ALL), o AS (SELECT test, odd, CASE WHEN t IN ('view', 'click') THEN 'passed' WHEN t = 'error' THEN 'error' ELSE 'failed' END AS x FROM l),
+j AS (SELECT coalesce(b.test, a.test) AS test, b.x AS before, a.x AS after FROM (SELECT * FROM o WHERE odd = 0) b FULL JOIN (SELECT * FROM o WHERE odd = 1) a ON a.test = b.test) SELECT test, before, after, coalesce(before = 'passed' AND after IS NOT NULL AND after <> 'passed', false) AS blocking FROM j WHERE before IS DISTINCT FROM after""",
+    "vote_reasons": """WITH v AS (SELECT user_id % 50 AS item_id, event_type AS g, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id % 10 / 10.0 AS conf FROM events), f AS (SELECT item_id, g, CASE WHEN k > 10 THEN k END AS iri, k, conf FROM v WHERE item_id * 7 % 5 + length(g) < 10),
+c AS (SELECT item_id, g, iri, max(conf) AS conf FROM f WHERE iri IS NOT NULL GROUP BY ALL), l AS (SELECT item_id, bool_or(n >= 2 AND above < 2) AS low FROM (SELECT item_id, iri, count(*) AS n, count_if(conf >= 0.5) AS above FROM c GROUP BY ALL) GROUP BY item_id),
+t AS (SELECT item_id, count(DISTINCT g) AS graders, bool_or(k = 1) AS a, bool_or(k = 2) AS u, count(iri) AS iris FROM f GROUP BY item_id)
+SELECT item_id, CASE WHEN graders < 3 THEN 'missing_votes' WHEN a THEN 'ambiguous_label' WHEN u THEN 'unresolved_label' WHEN iris = 0 THEN 'empty_proposal' WHEN low THEN 'sub_floor_confidence' ELSE 'set_mismatch' END AS reason FROM t LEFT JOIN l USING (item_id)""",
+    "audit_sample": f"WITH {E._GOLD} SELECT item_id FROM gold ORDER BY md5('7|' || item_id), item_id LIMIT 25",
+    "stack_scores": f"""WITH {E._RANKED}, {E._GOLD}, i AS (SELECT item_id, gold AS g FROM gold UNION ALL SELECT DISTINCT item_id, CAST([] AS VARCHAR[]) FROM gold_rows WHERE blank AND item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM gold)),
+j AS (SELECT g, CASE WHEN r.iri IS NULL THEN [] ELSE [r.iri] END AS p FROM i LEFT JOIN ranked r ON r.item_id = i.item_id AND r.rank = 1), t AS (SELECT len(g) AS ng, len(p) AS np, len(list_intersect(g, p)) AS tp FROM j)
+SELECT count_if(ng > 0) AS items, sum(tp) FILTER (ng > 0) AS tp, sum(np - tp) FILTER (ng > 0) AS fp, sum(ng - tp) FILTER (ng > 0) AS fn, count_if(ng > 0 AND tp = ng AND tp = np) AS exact_items, count_if(ng > 0 AND np = 0) AS empty_items,
+  count_if(ng = 0) AS nomatch_items, count_if(ng = 0 AND np > 0) AS nomatch_false, round(coalesce(count_if(ng = 0 AND np > 0)::DOUBLE / nullif(count_if(ng = 0), 0), 0), 6) AS nomatch_share FROM t""",
+    "label_lemmas": """WITH k AS (SELECT DISTINCT lower(regexp_extract(label, '([^ ]*)$', 1)) AS label_key FROM concepts), l AS (SELECT label_key, CASE WHEN label_key LIKE '%ies' THEN left(label_key, length(label_key) - 3) || 'y' WHEN label_key LIKE '%s' AND label_key NOT LIKE '%ss' THEN left(label_key, length(label_key) - 1) ELSE label_key END AS lemma FROM k WHERE length(label_key) > 3)
+SELECT label_key, lemma FROM l WHERE lemma <> label_key AND length(lemma) > 2 AND label_key NOT IN ('claims', 'notice') AND lemma NOT IN ('claims', 'notice')""",
+    "nonlexical_share": "WITH g AS (SELECT DISTINCT item_id, input_text, unnest(gold_iris) AS iri FROM gold_rows WHERE item_id IS NOT NULL AND input_text IS NOT NULL) SELECT count(*) AS concepts, count_if(NOT contains(input_text, label)) AS not_named FROM g JOIN concepts USING (iri)",
     "label_frequency": f"SELECT key, count(*) AS items FROM (SELECT DISTINCT item_id, {E._KEY.format(x='leaf')} AS key FROM gold_rows WHERE item_id IS NOT NULL AND leaf IS NOT NULL) GROUP BY key",
     "strata_with_gold": "SELECT DISTINCT stratum_id FROM gold_rows WHERE item_id IS NOT NULL AND NOT coalesce(blank, false) AND len(gold_iris) > 0",
 }
@@ -260,5 +345,6 @@ QUERIES = {
     for f in (
         gold_ids, rejection_keys, resolved_cells, resolved_items, query_variants, noun_phrases, containment_proposals, concept_proposals, subject_tags, judge_context, document_adapter, document_suppression, surface_hits, scan_recall,
         variant_replay, grid_frontier, misses_by_firm, judge_prompts, rerank_prompts, concept_parents, concept_lookup, candidate_similarity, split_summary, label_frequency, strata_with_gold,
+        suppressed_proposals, outcome_diff, vote_reasons, audit_sample, stack_scores, label_lemmas, exact_case_scan, nonlexical_share, reconcile_triage, match_full,
     )
 }
