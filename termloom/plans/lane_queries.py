@@ -10,7 +10,9 @@ from termloom.operators import audit, documents, evaluate, gold, prior, proposal
 from termloom.operators.catalog import ConceptCatalog
 from termloom.plans import evaluation_queries as E
 from termloom.plans import pipeline
-from termloom.plans.resolution_queries import _LABELS, _RULER_STOP, _SPANS, _TERMS, _place, _short
+from termloom.functions.scoring import sql_strip
+from termloom.functions.text import ANALYSIS_STOPWORDS as text_stop
+from termloom.plans.resolution_queries import _LABELS, _RULER_STOP, _SPANS, _decompose_sql, _place, _short
 from termloom.runtime import table
 
 BASE, LEGACY, PREFIXES = "https://vocab.lexifold.example/", ["http://vocab.lexifold.example/", "http://old.lexifold.example/", "lxf:"], ["lxf", "rel"]
@@ -320,6 +322,22 @@ SELECT item_id AS query_id, '{pipeline.RERANK_SYSTEM.replace("'", "''")}' || chr
     "split_summary": f"""WITH sp AS (SELECT * FROM ({E.SQL['split_frozen_tune']})), l AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY loaded_at DESC, coalesce(array_to_string(ancestor_path, '|'), '') DESC, coalesce(stratum_id, '') DESC) AS n FROM gold_rows WHERE NOT blank),
 i AS (SELECT item_id, upper(trim(coalesce(stratum_id, ''))) AS stratum_id FROM l WHERE n = 1)
 SELECT stratum_id, count(*) AS items, count_if(slice = 'tune') AS tune, count_if(slice = 'frozen') AS frozen, count_if(slice = 'excluded') AS excluded, count_if(slice = 'signal') AS signal, round(coalesce(count_if(slice = 'frozen')::DOUBLE / nullif(count_if(slice <> 'signal'), 0), 0), 4) AS frozen_share FROM sp JOIN i USING (item_id) GROUP BY stratum_id""",
+    "query_variants": f"""WITH leaves AS (SELECT DISTINCT leaf AS term FROM gold_rows WHERE leaf IS NOT NULL), {_decompose_sql('leaves')},
+x AS (SELECT term, -2 AS o, term AS v FROM leaves UNION ALL SELECT term, -1, {E._NORMAL.format(x='term')} FROM leaves UNION ALL SELECT term, pos, part FROM split WHERE pos > 0),
+y AS (SELECT term, {sql_strip('v')} AS v, min(o) AS o FROM x WHERE {sql_strip('v')} <> '' GROUP BY ALL) SELECT term AS leaf, CAST(row_number() OVER (PARTITION BY term ORDER BY o) - 1 AS INTEGER) AS pos, v AS variant FROM y""",
+    "noun_phrases": f"""WITH l AS (SELECT DISTINCT leaf FROM gold_rows WHERE leaf IS NOT NULL), ch AS (SELECT leaf, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS c FROM (SELECT leaf, regexp_split_to_array(regexp_replace({E._NORMAL.format(x='leaf')}, '\([^)]*\)', ' ', 'g'), '[/,;:|]+') AS cs FROM l)),
+w AS (SELECT leaf, c, regexp_extract_all(chunk, '[A-Za-z][A-Za-z''&.\-]*') AS w FROM ch), stop AS (SELECT {text_stop!r} AS s),
+x AS (SELECT leaf, c, 0 AS a, 0 AS i, array_to_string(w, ' ') AS phrase FROM w WHERE len(w) > 1
+  UNION ALL SELECT leaf, c, 1, i, w[i] || ' ' || w[i + 1] FROM (SELECT leaf, c, w, unnest(range(1, len(w))) AS i FROM w), stop WHERE NOT list_contains(s, lower(w[i])) OR NOT list_contains(s, lower(w[i + 1]))
+  UNION ALL SELECT leaf, c, 2, i, w[i] FROM (SELECT leaf, c, w, unnest(range(1, len(w) + 1)) AS i FROM w), stop WHERE NOT list_contains(s, lower(w[i])) AND length(w[i]) > 2),
+y AS (SELECT leaf, phrase, min((c, a, i)) AS o FROM x GROUP BY ALL) SELECT leaf, CAST(row_number() OVER (PARTITION BY leaf ORDER BY o) - 1 AS INTEGER) AS pos, phrase FROM y""",
+    "normal_forms": f"""WITH {_CELLS}, n AS (SELECT *, {E._NORMAL.format(x='value')} AS nt FROM marked), p AS (SELECT *, list_filter({E._PLURALS}, lambda m: m <> nt) AS pl FROM n)
+SELECT value AS raw, translate(value, '{E.normalize.DASHES}', '{"-" * len(E.normalize.DASHES)}') AS dashes, array_to_string(list_filter(list_transform(string_split(value, '|'), lambda x: trim(x)), lambda x: x <> ''), '|') AS pipes,
+  CASE WHEN contains(s, ':') THEN nullif(trim(split_part(s, ':', 1)), '') END AS bucket, suspect AS marked, iri_like, NOT iri_like AND (regexp_matches(s, '->|-->|=>|→|⟶') OR pred) AS relational, CASE WHEN nt = '' THEN '' ELSE array_to_string(pl, '|') END AS plurals, lower(nt) AS label_key FROM p""",
+    "exact_case_scan": r"""WITH hit AS (SELECT doc_id, label, iri, string_split(text, label) AS ps FROM documents JOIN concepts ON contains(text, label)), pos AS (SELECT *, unnest(range(1, len(ps))) AS k FROM hit),
+spot AS (SELECT doc_id, label, iri, ps[k] AS pre, ps[k + 1] AS post, k, CAST(list_sum(list_transform(ps[1:k], lambda p: length(p))) + (k - 1) * length(label) AS INTEGER) AS start FROM pos)
+SELECT doc_id, start, CAST(start + length(label) AS INTEGER) AS "end", iri || '|preferred' AS pattern_id FROM spot
+WHERE NOT regexp_matches(CASE WHEN pre = '' AND k > 1 THEN right(label, 1) ELSE right(pre, 1) END, '[\p{L}\p{N}_]') AND NOT regexp_matches(left(post, 1), '[\p{L}\p{N}_]')""",
     "suppressed_proposals": """WITH s AS (SELECT CAST(value_id AS VARCHAR) AS item_id, method, list_sort(list(DISTINCT iri)) AS iris, max(coalesce(score, 0)) AS score FROM label_proposals WHERE iri IS NOT NULL AND value_id IS NOT NULL GROUP BY ALL)
 SELECT item_id, method, array_to_string(iris, '|') AS iris FROM s WHERE NOT EXISTS (SELECT 1 FROM s r WHERE r.score < 50 AND r.item_id = s.item_id AND r.iris = s.iris)""",
     "outcome_diff": """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS test, event_id % 2 AS odd, arg_max(event_type, event_id) AS t FROM events GROUP BY ALL), o AS (SELECT test, odd, CASE WHEN t IN ('view', 'click') THEN 'passed' WHEN t = 'error' THEN 'error' ELSE 'failed' END AS x FROM l),

@@ -12,6 +12,7 @@ from termloom.operators.catalog import ConceptCatalog
 from termloom.operators.relevance import score_lists
 from termloom.operators.scan import entity_ruler
 from termloom.operators.search import definition_search, label_search, prefix_search
+from termloom.runtime import cut
 
 CANDIDATE = ["query_id", "iri", "label", "branch", "score", "path", "surface", "stage", "pos"]
 
@@ -46,7 +47,7 @@ def recall(terms: DataFrame, catalog: ConceptCatalog, threshold: float = 30.0, t
     expanded = F.flatten(F.transform("content", lambda w: F.transform(F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>")), lambda s: F.concat(w, F.lit(" "), s))))
     queries = t.select("term", "content", F.col("term").alias("q")).unionByName(t.select("term", F.explode(expanded).alias("q")).select("term", content_words(F.col("q")).alias("content"), "q"))
     asked = queries.groupBy("term").agg(F.collect_set(F.struct("q", "content")).alias("queries")).join(raw.groupBy("term").agg(F.collect_set("iri").alias("iris")), "term")
-    direct = score_lists(asked, c).filter(F.col("score") >= threshold)
+    direct = cut(score_lists(asked, c).filter(F.col("score") >= threshold))  # read by every hop below
     out = direct
     known = c.select(F.col("iri").alias("parent"))
     edges = catalog.edges.join(known, "parent", "left_semi")
@@ -54,7 +55,7 @@ def recall(terms: DataFrame, catalog: ConceptCatalog, threshold: float = 30.0, t
     reached = seen
     for d in range(1, depth + 1):
         step = seen.join(edges, F.col("iri") == F.col("child")).select("term", "root", F.col("parent").alias("iri"), "score").distinct()
-        seen = step.join(reached.select("term", "root", "iri"), ["term", "root", "iri"], "left_anti")
+        seen = cut(step.join(reached.select("term", "root", "iri"), ["term", "root", "iri"], "left_anti"))
         reached = reached.unionByName(seen)
         out = out.unionByName(seen.select("term", "iri", rounded(F.col("score") * (decay**d)).alias("score")).filter(F.col("score") >= threshold))
     best = out.groupBy("term", "iri").agg(F.max("score").alias("score"))
