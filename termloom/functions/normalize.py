@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.functions.text import strip
+
 # Dash and space characters that are folded; cells that name no concept.
 DASHES = "‐‑‒–—―−﹘﹣－"
 SPACES = "           \t\r\n"
@@ -70,7 +72,7 @@ def is_iri_like(text: Column, base: str, legacy: list[str], prefixes: list[str])
     s = fold_spaces(text)
     old = F.lit(False)
     for p in legacy:
-        old = old | (F.startswith(s, F.lit(p)) & F.rlike(F.substring(s, len(p) + 1, 10_000), F.lit(r"^[A-Za-z0-9_.\-]+$")) & ~_predicate(s, prefixes))
+        old = old | (F.startswith(s, F.lit(p)) & F.rlike(F.substring(s, F.lit(len(p) + 1), F.length(s)), F.lit(r"^[A-Za-z0-9_.\-]+$")) & ~_predicate(s, prefixes))
     return F.startswith(s, F.lit(base)) | old
 
 
@@ -79,7 +81,7 @@ def normal_iri(text: Column, base: str, legacy: list[str], prefixes: list[str])
     s = fold_spaces(text)
     out = F.when(F.startswith(s, F.lit(base)), s)
     for p in legacy:
-        out = out.when(F.startswith(s, F.lit(p)), F.concat(F.lit(base), F.substring(s, len(p) + 1, 10_000)))
+        out = out.when(F.startswith(s, F.lit(p)), F.concat(F.lit(base), F.substring(s, F.lit(len(p) + 1), F.length(s))))
     return F.when(is_iri_like(text, base, legacy, prefixes), out)
 
 
@@ -96,7 +98,7 @@ def suspect(text: Column) -> Column:
 
 
 def pipe_values(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\|"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(F.split(text, r"\|"), lambda p: strip(p)), lambda p: F.length(p) > 0)
 
 
 def compound(text: Column) -> Column:

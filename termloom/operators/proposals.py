@@ -14,7 +14,7 @@ NONE = "array<string>"
 
 def query_variants(leaf: Column) -> Column:
     """The texts that are searched for a leaf: itself, its normal form, and its parts; each once, without blank ones."""
-    every = F.concat(F.array(leaf, normal_label(leaf)), F.slice(decompose(leaf), 2, 10_000))
+    every = F.concat(F.array(leaf, normal_label(leaf)), F.slice(decompose(leaf), F.lit(2), F.size(decompose(leaf))))
     return F.array_distinct(F.filter(F.transform(every, lambda t: strip(t)), lambda t: F.length(t) > 0))
 
 

@@ -332,7 +332,7 @@ x AS (SELECT leaf, c, 0 AS a, 0 AS i, array_to_string(w, ' ') AS phrase FROM w W
   UNION ALL SELECT leaf, c, 2, i, w[i] FROM (SELECT leaf, c, w, unnest(range(1, len(w) + 1)) AS i FROM w), stop WHERE NOT list_contains(s, lower(w[i])) AND length(w[i]) > 2),
 y AS (SELECT leaf, phrase, min((c, a, i)) AS o FROM x GROUP BY ALL) SELECT leaf, CAST(row_number() OVER (PARTITION BY leaf ORDER BY o) - 1 AS INTEGER) AS pos, phrase FROM y""",
     "normal_forms": f"""WITH {_CELLS}, n AS (SELECT *, {E._NORMAL.format(x='value')} AS nt FROM marked), p AS (SELECT *, list_filter({E._PLURALS}, lambda m: m <> nt) AS pl FROM n)
-SELECT value AS raw, translate(value, '{E.normalize.DASHES}', '{"-" * len(E.normalize.DASHES)}') AS dashes, array_to_string(list_filter(list_transform(string_split(value, '|'), lambda x: trim(x)), lambda x: x <> ''), '|') AS pipes,
+SELECT value AS raw, translate(value, '{E.normalize.DASHES}', '{"-" * len(E.normalize.DASHES)}') AS dashes, array_to_string(list_filter(list_transform(string_split(value, '|'), lambda x: {sql_strip('x')}), lambda x: x <> ''), '|') AS pipes,
   CASE WHEN contains(s, ':') THEN nullif(trim(split_part(s, ':', 1)), '') END AS bucket, suspect AS marked, iri_like, NOT iri_like AND (regexp_matches(s, '->|-->|=>|→|⟶') OR pred) AS relational, CASE WHEN nt = '' THEN '' ELSE array_to_string(pl, '|') END AS plurals, lower(nt) AS label_key FROM p""",
     "exact_case_scan": r"""WITH hit AS (SELECT doc_id, label, iri, string_split(text, label) AS ps FROM documents JOIN concepts ON contains(text, label)), pos AS (SELECT *, unnest(range(1, len(ps))) AS k FROM hit),
 spot AS (SELECT doc_id, label, iri, ps[k] AS pre, ps[k + 1] AS post, k, CAST(list_sum(list_transform(ps[1:k], lambda p: length(p))) + (k - 1) * length(label) AS INTEGER) AS start FROM pos)
