@@ -238,6 +238,7 @@ class Reference:
         self.vocabulary = vocabulary
         self.by_tail: dict[str, str] = {}
         self.squashed: dict[str, str] = {}
+        self.joined: dict[str, str] = {}
         by_words: dict[tuple, str] = {}
         for iri, names in entries:
             self._keep(self.by_tail, iri_tail(iri), iri)
@@ -247,11 +248,17 @@ class Reference:
                     continue
                 stems = [singular(w) for w in words]
                 self._keep(by_words, tuple(sorted(stems)), iri)
+                for order in (words, [words[-1], *words[:-1]]):
+                    self._keep(self.joined, "".join(order), iri)
                 for order in (words, [words[-1], *words[:-1]], [stems[-1], "of", *words[:-1]], [stems[-1], "for", *words[:-1]], [*words[:-1], stems[-1]]):
                     self._keep(self.squashed, "".join(order), iri)
         self.words = sorted({s for k in by_words for s in k})
         self.at = {w: i for i, w in enumerate(self.words)}
         self.spellings = Spellings(self.words)
+        at = {f: i for i, f in enumerate(vocabulary.sorted_forms)}
+        # where each word of the shard stands among those of the whole list; numbers stand nowhere there
+        self.place = np.array([at.get(w, -1) for w in self.words], np.int64)
+        self.numbers = np.flatnonzero(self.place < 0)
         self.trees: dict[int, EntryTree] = {}
         self.iris: dict[int, list[str]] = {}
         sizes: dict[int, list[tuple]] = {}
@@ -271,6 +278,12 @@ class Reference:
         if key not in to or iri < to[key]:  # two entries with one name: the smaller IRI
             to[key] = iri
 
+    def _far(self, word: str) -> np.ndarray:
+        """Distances of a word to the words of the shard, out of those to all words of the list."""
+        row = self.vocabulary.spellings.row(word)[self.place]
+        row[self.numbers] = np.maximum(len(word), self.spellings.length[self.numbers])  # letters and digits have nothing in common
+        return row
+
     def _row(self, token: tuple[str, bool]) -> tuple[np.ndarray, np.ndarray, int] | None:
         """Least and greatest distance of what a token may stand for to each word of the shard, and how far off the stems are that it may be a slip of. None
         where it can stand for no word of this shard."""
@@ -283,15 +296,16 @@ class Reference:
         if any(s in self.at for s in reading.costs):
             options = {s for s in (*reading.known, *reading.short) if s in self.at}
             reach = 0
+            typed: set[str] = set()
             if reading.near:
                 typed = {token[0], singular(token[0])}
-                least = np.minimum.reduce([self.spellings.row(w) for w in typed])
+                least = np.minimum.reduce([self._far(w) for w in typed])
                 far = {s: int(least[self.at[s]]) for s in reading.near if s in self.at}
                 options |= {s for s, d in far.items() if d > 2 * reading.near[s]}  # met through its plural only
                 reach = max([d for s, d in far.items() if s not in options], default=0)
                 if far:
                     options |= typed
-            rows = [self.spellings.row(o) for o in options]
+            rows = [self._far(o) if o in typed else self.spellings.row(o) for o in options]
             got = (rows[0], rows[0], reach) if len(rows) == 1 else (np.minimum.reduce(rows), np.maximum.reduce(rows), reach)
         self.rows[token] = got
         return got
@@ -341,11 +355,11 @@ class Reference:
         if not new:
             return
         if self._joined is None:
-            self._joined = StringTree(sorted(self.squashed))
+            self._joined = StringTree(sorted(self.joined))
         self.whole.update(dict.fromkeys(new))
         for w, e in self._joined.within(new, 2 * SLIPS):
             if (d := slips(w, e)) <= SLIPS:
-                got = (SLIP * d + 0.5, self.squashed[e])
+                got = (SLIP * d + 0.5, self.joined[e])
                 if self.whole[w] is None or got < self.whole[w]:
                     self.whole[w] = got
 
