@@ -161,3 +161,39 @@ def test_manifests(spark, tmp_path):
     assert manifests.load_lemmas(spark, str(tmp_path), "h") is None
     manifests.save_lemmas(spark.createDataFrame([("laws", "law")], "label_key string, lemma string"), str(tmp_path), "h")
     assert manifests.load_lemmas(spark, str(tmp_path), "h").first().lemma == "law"
+
+
+def test_triage(spark):
+    from termloom.operators import embedding, reconcile
+
+    s = "text string, iri string, label string, definition string, confidence double, ord long"
+    d = [("Tax", "t1", "tax", None, 0.7, 1), ("Law", "l1", "law", None, 0.7, 2), ("Fee", None, "", None, 0.5, 3), ("Sale of land", "s1", "x", "what is sold is land", 0.7, 4), ("alone", "q", "", None, 0.4, 5)]
+    m = [("tax", "t2", "gift", None, 0.9, 1), ("law", "l1", "law", None, 0.5, 2), ("fee", "f1", "fee", None, 0.6, 3), ("sale of land", "s2", "y", "a boat", 0.8, 4), ("other", "o", "", None, 0.1, 5)]
+    got = {(r.category, r.key, r.iri): round(r.confidence, 4) for r in reconcile.reconcile_with_triage(spark.createDataFrame(d, s), spark.createDataFrame(m, s), embedding.similarity).collect()}
+    assert got == {("conflict_resolved", "tax", "t1"): 1.0, ("both_agree", "law", "l1"): 0.715, ("both_agree", "fee", "f1"): 0.62, ("conflict_resolved", "sale of land", "s1"): 0.7, ("model_only", "other", "o"): 0.1}
+
+
+def test_folds(spark):
+    from termloom.operators import audit, scan
+
+    items = spark.createDataFrame([("a", ["x", "y"]), ("b", ["z"]), ("n", [])], "item_id string, gold array<string>")
+    said = spark.createDataFrame([("a", ["x", "q"]), ("b", ["z"]), ("n", ["w"])], "item_id string, iris array<string>")
+    r = audit.stack_scores(items, said).first()
+    assert (r.items, r.tp, r.fp, r.fn, r.exact_items, r.empty_items, r.nomatch_items, r.nomatch_false, r.nomatch_share) == (2, 2, 1, 1, 1, 0, 1, 1, 1.0)
+    with pytest.raises(ValueError):
+        audit.stack_scores(items, said.filter("item_id <> 'b'"))
+    decisions = spark.createDataFrame([("a", "reject", ["y", "x"], "h"), ("b", "reject", ["z"], "old"), ("n", "accept", ["w"], "h")], "item_id string, action string, iris array<string>, catalog_hash string")
+    left = audit.suppress(spark.createDataFrame([("a", ["x", "y"]), ("a", ["x"]), ("b", ["z"]), ("n", [])], "item_id string, iris array<string>"), audit.rejection_memory(decisions, "h"))
+    assert sorted((r.item_id, tuple(r.iris)) for r in left.collect()) == [("a", ("x",)), ("b", ("z",)), ("n", ())]
+    t = "test string, outcome string"
+    diff = audit.outcome_diff(spark.createDataFrame([("a", "passed"), ("b", "passed"), ("c", "failed"), ("d", "passed")], t), spark.createDataFrame([("a", "failed"), ("b", "passed"), ("c", "passed"), ("e", "passed")], t))
+    assert {r.test: r.blocking for r in diff.collect()} == {"a": True, "c": False, "d": False, "e": False}
+    floor = "confidence double, accepted boolean"
+    assert audit.best_floor(spark.createDataFrame([(0.2, False), (0.6, True), (0.8, True)], floor)).first().floor == 0.6 and audit.best_floor(spark.createDataFrame([], floor)).first().floor == 0.7
+    with pytest.raises(ValueError):
+        audit.best_floor(spark.createDataFrame([(1.5, True)], floor))
+    docs = spark.createDataFrame([(1, "Tax tax TAX")], "doc_id long, text string")
+    spans = scan.scan(docs, spark.createDataFrame([("Tax",)], "pattern string"))
+    assert spans.count() == 3 and [(r.start, r.end) for r in scan.same_case(spans, docs).collect()] == [(0, 3)]
+    p = spark.range(1).select(scan.pattern_parts(scan.pattern_id(F.lit("a|b"), F.lit("preferred"))).alias("p"), scan.pattern_parts(F.lit("x")).alias("q")).first()
+    assert tuple(p.p) == ("a|b", "preferred") and tuple(p.q) == ("x", "unknown")
