@@ -48,7 +48,7 @@ def gold_sets(rows: DataFrame) -> DataFrame:
 def item_scores(gold: DataFrame, ranked: DataFrame, threshold: float, k: int) -> DataFrame:
     """Per item: committed answers, tp, fp, fn, exact, and gold concepts among the first 1, 3, 5 and 10 candidates."""
     hit = F.when((F.col("probability") >= threshold) & (F.col("rank") <= k), F.col("iri"))
-    lists = ranked.groupBy("item_id").agg(F.array_sort(F.collect_list(hit)).alias("answers"), *[F.collect_list(F.when(F.col("rank") <= n, F.col("iri"))).alias(f"_top{n}") for n in (1, 3, 5, 10)])
+    lists = ranked.filter(F.col("rank") <= max(k, 10)).groupBy("item_id").agg(F.array_sort(F.collect_list(hit)).alias("answers"), *[F.collect_list(F.when(F.col("rank") <= n, F.col("iri"))).alias(f"_top{n}") for n in (1, 3, 5, 10)])
     none = F.array().cast("array<string>")
     j = gold.join(lists, "item_id", "left").withColumn("answers", F.coalesce("answers", none))
     tp = F.size(F.array_intersect("answers", "gold"))
